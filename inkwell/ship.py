@@ -17,10 +17,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_inkwell_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as tmp:
-        path = os.path.join(tmp, "inkwell.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for p in sorted(_PACKAGE.rglob("*.py")):
-                z.write(p, str(Path("inkwell") / p.relative_to(_PACKAGE)))
-        sc.addPyFile(path)
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "inkwell.zip")  # served by the driver as long as it runs
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(_PACKAGE.rglob("*.py")):
+            z.write(p, str(Path("inkwell") / p.relative_to(_PACKAGE)))
+    sc.addPyFile(path)
     sc._inkwell_shipped = True
