@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module of each query, by name.
 MODULES = {
     "p1_found": "encoding", "p1_restored": "encoding",
+    "p2_found": "answers", "p2_by_model": "answers",
+    "p3_found": "cuts", "p3_shares": "cuts",
     "p4_found": "refine", "p4_collapsed": "refine",
     "p5_found": "confusables", "p5_forms": "confusables", "p5_classes": "confusables",
     "p7_ids": "bpe",
+    "p8_found": "leaks", "p8_spans": "leaks", "p8_items": "leaks",
+    "p9_found": "subjects", "p9_make_up": "subjects",
 }
 
 #: DuckDB SQL of the queries that SQL can express.
