@@ -14,6 +14,7 @@ MODULES = {
     "p3_found": "cuts", "p3_shares": "cuts",
     "p4_found": "refine", "p4_collapsed": "refine",
     "p5_found": "confusables", "p5_forms": "confusables", "p5_classes": "confusables",
+    "p6_found": "langs", "p6_labels": "langs", "p6_segments": "langs",
     "p7_ids": "bpe",
     "p8_found": "leaks", "p8_spans": "leaks", "p8_items": "leaks",
     "p9_found": "subjects", "p9_make_up": "subjects",
