@@ -1,9 +1,15 @@
-"""Text and inline-alignment expressions; all of them stay in the JVM."""
+"""Text and inline-alignment expressions; all but the subsequence stay in the JVM."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_SIMILARITY_WORD = re.compile(r"[\w']+")
 
 EDIT = r"\{([^{}]*?)=>([^{}]*?)\}"
 UPPER, LOWER = "A-ZА-ЯІЇЄҐ", "a-zа-яіїєґ"
@@ -71,18 +77,32 @@ def similarity_words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)[\w']+"), F.lit(0))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, as a fold over rows of the table."""
-    zero = F.transform(F.concat(F.array(F.lit("")), b), lambda _: F.lit(0))
-
-    def next_row(row: Column, x: Column) -> Column:
-        start = F.array(F.lit(0))
-        cells = F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            start,
-            lambda acc, j: F.concat(acc, F.array(F.when(F.element_at(b, j) == x, F.element_at(row, j) + 1).otherwise(F.greatest(F.element_at(row, j + 1), F.element_at(acc, j))))),
-        )
-        return cells
-
-    done = F.aggregate(a, zero, next_row)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(F.element_at(done, -1))
+def _common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, equal ends first."""
+    head = 0
+    while head < len(a) and head < len(b) and a[head] == b[head]:
+        head += 1
+    a, b = a[head:], b[head:]
+    tail = 0
+    while tail < len(a) and tail < len(b) and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return head + tail + row[-1]
+
+
+@F.pandas_udf(T.DoubleType())
+def lcs_similarity(src: pd.Series, tgt: pd.Series) -> pd.Series:
+    """Common subsequence of the words over the longer side; 0 for a side without words, null for null."""
+    out = []
+    for s, t in zip(src, tgt, strict=True):
+        if s is None or t is None:
+            out.append(None)
+            continue
+        a, b = _SIMILARITY_WORD.findall(s.lower()), _SIMILARITY_WORD.findall(t.lower())
+        out.append(_common(a, b) / max(len(a), len(b)) if a and b else 0.0)
+    return pd.Series(out, dtype="float64")

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
 
 
-def should_keep(src: Column, tgt: Column, aligned: Column, least: float = 0.55) -> Column:
-    """Not multi-line, both sides of 10 to 50 words, at most 4 edits, enough in common.
+def kept_pairs(df: DataFrame, src: str = "src", tgt: str = "tgt", aligned: str = "aligned", least: float = 0.55) -> DataFrame:
+    """Rows not multi-line, both sides of 10 to 50 words, at most 4 edits, enough words in common.
 
-    Cheap tests stand first; the subsequence is only worked out for rows that pass them.
+    The cheap tests are a filter of their own below the Python one, so that the
+    subsequence is only worked out for rows that pass them.  Null sides are rejected.
     """
-    a, b = X.similarity_words(src), X.similarity_words(tgt)
-    cheap = ~src.contains("\n") & ~tgt.contains("\n") & X.length_ok(src, tgt) & (X.count_edits(aligned) <= 4)
-    enough = X.lcs_length(a, b) >= least * F.greatest(F.size(a), F.size(b))
-    return F.when(cheap, enough).otherwise(F.lit(False))
+    s, t = F.col(src), F.col(tgt)
+    cheap = df.where(~s.contains("\n") & ~t.contains("\n") & X.length_ok(s, t) & (X.count_edits(F.col(aligned)) <= 4))
+    return cheap.where(X.lcs_similarity(s, t) >= least)
 
 
 def keep_first(df: DataFrame, order: str, *keys: str) -> DataFrame:

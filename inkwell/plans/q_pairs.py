@@ -35,7 +35,7 @@ def f2_edit_counts(spark, d):
 def f4_should_keep(spark, d):
     """The subsequence length has no plain SQL; tested against a brute-force version."""
     g = _gold(spark, d, "src", "tgt", "aligned")
-    return g.where(P.should_keep(F.col("src"), F.col("tgt"), F.col("aligned"))).select("row_id")
+    return P.kept_pairs(g).select("row_id")
 
 
 @query("f5_sentence_pairs", r"WITH s AS (SELECT row_id, list_filter(list_transform(string_split(regexp_replace(src, '([.!?])\s+([A-ZА-ЯІЇЄҐ])', '\1' || chr(9246) || '\2', 'g'), chr(9246)), lambda x: trim(x)), lambda x: x <> '') AS a, list_filter(list_transform(string_split(regexp_replace(tgt, '([.!?])\s+([A-ZА-ЯІЇЄҐ])', '\1' || chr(9246) || '\2', 'g'), chr(9246)), lambda x: trim(x)), lambda x: x <> '') AS b FROM gold_annotations WHERE src IS NOT NULL AND tgt IS NOT NULL) SELECT row_id, len(a) AS sentences FROM s WHERE len(a) = len(b) AND len(a) > 1")

@@ -151,3 +151,41 @@ def pl7_json_answers(spark, d):
 def pl12_empty_label_lists(spark, d):
     r = F.replace(F.col("reasoning"), F.lit('""'), F.lit('"'))
     return table(spark, d, "ensemble", "model", "reasoning").groupBy("model").agg(F.count_if(F.contains(r, F.lit('labels":[]')) | F.contains(r, F.lit('labels": []'))).alias("empty_lists"), F.count(F.lit(1)).alias("n"))
+
+
+@query("s10_inline_alignments", "SELECT row_id, true AS src_kept, true AS tgt_kept FROM gold_annotations WHERE src IS NOT NULL AND tgt IS NOT NULL AND NOT regexp_matches(src || tgt, '[{}]|=>')")
+def s10_inline_alignments(spark, d):
+    """Own alignments of all pairs, and whether their projections give the texts back (texts with edit marks aside)."""
+    from inkwell.functions.alignment import inline_alignment
+
+    g = _gold(spark, d, "src", "tgt").where("src is not null and tgt is not null").where(~F.concat("src", "tgt").rlike(r"[{}]|=>"))
+    a = g.withColumn("a", inline_alignment("src", "tgt"))
+    side = lambda g: F.regexp_replace("a", r"(?s)\{([^{}]*?)=>([^{}]*?)\}", f"${g}")
+    return a.select("row_id", (side(1) == F.col("src")).alias("src_kept"), (side(2) == F.col("tgt")).alias("tgt_kept"))
+
+
+@query("s6_diff_bounds", "SELECT row_id, levenshtein(src, tgt) AS edit_distance, true AS bounded FROM gold_annotations WHERE src IS NOT NULL AND tgt IS NOT NULL AND regexp_full_match(src || tgt, '[ -~]*')")
+def s6_diff_bounds(spark, d):
+    """Edit distance of ASCII pairs, and that the word diff bounds it from above."""
+    from inkwell.functions.alignment import word_diff_distance
+
+    g = _gold(spark, d, "src", "tgt").where("src is not null and tgt is not null").where(F.concat("src", "tgt").rlike(r"^[ -~]*\z"))
+    x = g.select("row_id", F.levenshtein("src", "tgt").alias("edit_distance"), word_diff_distance("src", "tgt").alias("w"))
+    return x.select("row_id", "edit_distance", (F.col("w") >= F.col("edit_distance")).alias("bounded"))
+
+
+@query("s17_labelled_edits", r"WITH e AS (SELECT row_id, aligned, regexp_extract_all(alignment_labels, ':::([A-Z0-9]+)\}', 1) AS l FROM gold_annotations WHERE aligned IS NOT NULL AND alignment_labels IS NOT NULL) SELECT row_id, least(len(l), len(regexp_extract_all(aligned, '\}'))) AS labelled FROM e")
+def s17_labelled_edits(spark, d):
+    """Edits that got their label, counted in the rewritten alignment."""
+    from inkwell.functions.alignment import labelled
+
+    g = _gold(spark, d, "aligned", "alignment_labels").where("aligned is not null and alignment_labels is not null")
+    l = F.regexp_extract_all("alignment_labels", F.lit(r":::([A-Z0-9]+)\}"), F.lit(1))
+    return g.select("row_id", F.regexp_count(labelled(F.col("aligned"), l), F.lit(r":::[A-Z0-9]+\}")).alias("labelled"))
+
+
+@query("s22_word_differences", r"SELECT row_id, len(list_filter(list_zip(string_split(src,' '), string_split(tgt,' ')), lambda p: coalesce(p[1],'') <> coalesce(p[2],''))) AS differing FROM gold_annotations WHERE src IS NOT NULL AND tgt IS NOT NULL")
+def s22_word_differences(spark, d):
+    """Words that differ by position."""
+    pairs = F.zip_with(F.split("src", " "), F.split("tgt", " "), lambda x, y: F.coalesce(x, F.lit("")) != F.coalesce(y, F.lit("")))
+    return _gold(spark, d, "src", "tgt").where("src is not null and tgt is not null").select("row_id", F.size(F.filter(pairs, lambda p: p)).alias("differing"))
