@@ -33,9 +33,10 @@ HISTOGRAM = ("e", "a", "n", "t", "о", "и", "р", "1")
 def bare(text: Column) -> Column:
     """Text without white space, punctuation and letter case; null counts as empty.
 
-    Case goes by full folding (upper, then lower), so that ß and SS are the same.
+    Case goes by folding, so that ß and SS are the same and so are the two small sigmas.
     """
-    return F.lower(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), FORM, "")))
+    low = F.lower(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), FORM, "")))
+    return F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def _invariant(a: Column, b: Column) -> Column:
