@@ -71,7 +71,7 @@ def read_parallel_files(spark: SparkSession, src_glob: str, tgt_glob: str, id_pa
     """Files matched by the id in their names; their non-empty lines are paired by position."""
 
     def side(glob: str, name: str) -> DataFrame:
-        t = spark.read.option("wholetext", True).text(glob).select(F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).alias("file"), "value")
+        t = spark.read.text(glob, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).alias("file"), "value")
         lines = F.filter(F.transform(F.split("value", "\n"), lambda l: F.trim(l)), lambda l: l != "")
         return t.select("file", F.posexplode(lines).alias("line", name))
 
@@ -83,8 +83,8 @@ def read_essay_blocks(spark: SparkSession, src_path: str, tgt_path: str) -> Data
     """Markdown blocks ``### essay_id = X``, paired by position in the file; equal pairs are dropped."""
 
     def side(path: str, name: str) -> DataFrame:
-        t = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.split("value", "### essay_id = "), lambda b: F.trim(b) != "")).alias("place", "b"))
-        return t.select("place", F.trim(F.split_part("b", F.lit("\n"), F.lit(1))).alias(f"{name}_id"), F.trim(F.regexp_replace("b", r"^[^\n]*\n?", "")).alias(name))
+        t = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "### essay_id = "), lambda b: F.trim(b) != "")).alias("place", "b"))
+        return t.select("place", F.trim(F.split_part("b", F.lit("\n"), F.lit(1))).alias(f"{name}_id"), F.regexp_replace(F.regexp_replace("b", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias(name))
 
     x = side(src_path, "src").join(side(tgt_path, "tgt"), "place").where("src <> tgt")
     return x.select(F.when(F.col("src_id") == F.col("tgt_id"), F.col("src_id")).otherwise(F.concat_ws("|", "src_id", "tgt_id")).alias("id"), "src", "tgt")
@@ -112,7 +112,7 @@ def read_pair_tsv(spark: SparkSession, path: str, low: int = 10, high: int = 50)
 
 def read_sgml_documents(spark: SparkSession, path: str) -> DataFrame:
     """``<DOC nid=..>`` with ``<TEXT>`` and ``<P>``: sentences of the paragraphs, tgt is src."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<DOC .*?</DOC>)"), F.lit(1))).alias("doc"))
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<DOC .*?</DOC>)"), F.lit(1))).alias("doc"))
     paras = F.regexp_extract_all("doc", F.lit(r"(?s)<P>(.*?)</P>"), F.lit(1))
     text = F.array_join(F.transform(paras, lambda p: X.strip_markup(p)), " ")
     x = whole.select(F.regexp_extract("doc", r'nid="?([^">\s]+)', 1).alias("nid"), F.posexplode(X.split_sentences(X.fix_punctuation_spacing(text))).alias("n", "src"))
@@ -124,7 +124,7 @@ def read_essay_versions(spark: SparkSession, essays: str, corrected: str) -> Dat
 
     def side(path: str) -> DataFrame:
         name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-        return spark.read.option("wholetext", True).text(path).select(F.regexp_extract(name, r"^(\d+)", 1).alias("id"), name.alias("file"), F.trim("value").alias("text"))
+        return spark.read.text(path, wholetext=True).select(F.regexp_extract(name, r"^(\d+)", 1).alias("id"), name.alias("file"), F.trim("value").alias("text"))
 
     first = side(corrected).groupBy("id").agg(F.min_by("text", "file").alias("tgt"))
     return side(essays).join(first, "id").select("id", F.col("text").alias("src"), "tgt")
@@ -132,7 +132,7 @@ def read_essay_versions(spark: SparkSession, essays: str, corrected: str) -> Dat
 
 def read_alternating_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text files whose odd lines are sources and even lines their corrections."""
-    t = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("l"))
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("l"))
     n = F.sequence(F.lit(0), F.floor(F.size("l") / 2).cast("int") - 1)
     x = t.where("size(l) > 1").select("file", F.explode(n).alias("i"), "l")
     return x.select(F.concat_ws("#", "file", "i").alias("id"), F.get("l", F.col("i") * 2).alias("src"), F.get("l", F.col("i") * 2 + 1).alias("tgt"))
@@ -165,7 +165,7 @@ def html_text(c: Column) -> Column:
 def read_code_points(spark: SparkSession, path: str) -> DataFrame:
     """Normalisation test lines: semicolon fields of hexadecimal code points as strings."""
     rows = spark.read.text(path).where("value not like '#%' and value not like '@%' and trim(value) <> ''")
-    text = lambda i: F.array_join(F.transform(F.split(F.split("value", ";")[i], " "), lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32BE")), "")
+    text = lambda i: F.array_join(F.transform(F.split(F.split("value", ";")[i], " "), lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")), "")
     return rows.select(*[text(i).alias(n) for i, n in enumerate(("source", "nfc", "nfd", "nfkc", "nfkd"))])
 
 

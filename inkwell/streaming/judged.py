@@ -25,7 +25,7 @@ def windowed_labels(judged: DataFrame, time: str = "judged_at", size: str = "1 h
     """Counts of each label in tumbling windows."""
     x = judged.select(F.col(time).alias("t"), L.normalized(F.col("tp_fp_label")).alias("label"), "total_tokens")
     if judged.isStreaming:
-        x = x.withWatermark("t", late)
+        x = x.withColumn("t", F.col("t").cast("timestamp")).withWatermark("t", late)
     by = x.groupBy(F.window("t", size).alias("w"), "label")
     return by.agg(F.count(F.lit(1)).alias("n"), F.sum("total_tokens").alias("tokens")).select(F.col("w.start").alias("window_start"), "label", "n", "tokens")
 
