@@ -21,9 +21,18 @@ def tokens(text: str) -> list[str]:
 def diff(src: str, tgt: str) -> list[tuple[str, str]]:
     """(old, new) pieces in order; equal pieces have old == new."""
     a, b = tokens(src), tokens(tgt)
-    out = []
-    for _, i, j, k, l in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        out.append(("".join(a[i:j]), "".join(b[k:l])))
+    head, most = 0, min(len(a), len(b))
+    while head < most and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out = [("".join(a[:head]),) * 2] if head else []
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    for _, i, j, k, l in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        out.append(("".join(x[i:j]), "".join(y[k:l])))
+    if tail:
+        out.append(("".join(a[len(a) - tail :]),) * 2)
     return out
 
 

@@ -48,7 +48,7 @@ def r5_field_weighted_rules(spark, d):
 
 @query("r1_tfidf_top_k", """WITH t AS (SELECT row_id AS id, lower(src) AS t FROM gold_annotations WHERE src IS NOT NULL), g AS (SELECT id, gram, count(*) AS tf FROM (SELECT id, substr(t, unnest(range(1, length(t) - n + 2)), n) AS gram FROM t, (SELECT unnest([3,4,5]) AS n) WHERE length(t) >= n) GROUP BY 1, 2),
 n AS (SELECT count(*) AS n FROM t), i AS (SELECT gram, ln((1.0 + (SELECT n FROM n)) / (1.0 + count(*))) + 1.0 AS idf FROM g GROUP BY 1), w AS (SELECT id, g.gram, tf*idf AS w FROM g JOIN i ON g.gram = i.gram), m AS (SELECT id, sqrt(sum(w*w)) AS norm FROM w GROUP BY 1), u AS (SELECT w.id, gram, w/norm AS w FROM w JOIN m ON w.id = m.id),
-s AS (SELECT q.id AS query_id, u.id AS neighbour_id, round(sum(q.w*u.w),4) AS score FROM u q JOIN u ON q.gram = u.gram WHERE q.id % 50 = 0 GROUP BY 1, 2) SELECT query_id, count(*) AS hits, max(score) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id) AS place FROM s) WHERE place <= 5 GROUP BY 1""")
+s AS (SELECT q.id AS query_id, u.id AS neighbour_id, round(sum(q.w*u.w),4) AS score FROM u q JOIN u ON q.gram = u.gram WHERE q.id % 50 = 0 AND q.id <> u.id GROUP BY 1, 2) SELECT query_id, count(*) AS hits, max(score) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id) AS place FROM s) WHERE place <= 5 GROUP BY 1""")
 def r1_tfidf_top_k(spark, d):
     """Every fiftieth gold source against all of them: number of hits and best score."""
     g = table(spark, d, "gold_annotations", "row_id", "src")

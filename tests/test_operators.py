@@ -171,3 +171,25 @@ def test_label_and_span_rewriting(spark):
     assert df.select(A.labelled(F.col("a"), F.col("l"))).collect()[0][0] == "a {b=>c:::TP} d {e=>f:::FP1} {g=>h}"
     s = spark.sql("select 'hello world' t, array(named_struct('begin', 0, 'end', 5, 'repl', 'HI'), named_struct('begin', 6, 'end', 11, 'repl', 'you')) s")
     assert s.select(A.apply_spans(F.col("t"), F.col("s"))).collect()[0][0] == "HI you"
+
+
+def test_tfidf_top_k_against_brute_force(spark):
+    import math
+    import random
+
+    rnd = random.Random(5)
+    texts = [(i, "".join(rnd.choice("ab c") for _ in range(rnd.randint(0, 14)))) for i in range(40)] + [(40, None), (41, "")]
+    df = spark.createDataFrame(texts, "row_id long, src string")
+    got = {(r.query_id, r.neighbour_id): r.score for r in retrieval.tfidf_top_k(df, df.where("row_id % 20 = 0"), "row_id", "src", 4).collect()}
+    grams = {i: Counter(t[j : j + n] for n in (3, 4, 5) for j in range(len(t) - n + 1)) for i, t in texts if t is not None}
+    n = len(grams)
+    idf = {g: math.log((1 + n) / (1 + c)) + 1 for g, c in Counter(g for c in grams.values() for g in c).items()}
+    vec = {i: {g: c * idf[g] for g, c in x.items()} for i, x in grams.items()}
+    norm = {i: math.sqrt(sum(w * w for w in x.values())) or 1 for i, x in vec.items()}
+    want = {}
+    for q in (0, 20, 40):
+        if q in vec:
+            s = {i: round(sum(w * vec[i].get(g, 0) for g, w in vec[q].items()) / norm[q] / norm[i], 4) for i in vec if i != q}
+            for i in sorted((i for i in s if s[i] > 0), key=lambda i: (-s[i], i))[:4]:
+                want[q, i] = s[i]
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
