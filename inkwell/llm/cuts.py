@@ -2,14 +2,16 @@
 
 1. *Near-copies.*  Five-word shingles, min-hash signatures and bands bring texts together
    whose shingles agree to 0.8; a text that belongs to a row's own fields (an inline
-   alignment beside its source and target) is a pair from the start.  The pairs are
-   verified by shingle containment and aligned; the copy whose alignment ends early is cut.
+   alignment beside its source and target) is a pair from the start.  The texts of the
+   bucket are verified by shingle containment and aligned, every open-ended one with every
+   other; the copy whose alignment ends early is cut.
 2. *Terminality.*  A text without such a partner is judged by its closing word: how often
    do this word, in this context, and longer words that begin with it, end a sentence
    and how often do they go on, over all texts of the table?
 
-Hot groups: a bucket is reduced to its longest text by partial aggregation and every
-open-ended text of it meets that one, so a bucket of any size costs one row a member.
+Hot groups: equal texts count once, by digest.  The distinct texts of a bucket meet in cells
+of a bounded size, so a task holds no more than one cell; the pairs of a bucket grow with the
+square of its distinct texts.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.confusables import consistent
@@ -30,6 +34,8 @@ from inkwell.operators.lineage import cut as stored
 SHINGLE, SIMILARITY = 5, 0.8
 #: 12 bands of 4 rows: a pair at 0.8 is missed with probability 0.002.
 BANDS, ROWS = 12, 4
+#: Texts of a cell, and of those that ask in it; larger buckets have several cells.
+CELL = 2048
 #: Share of going on from which an ending counts as cut.
 GOES_ON = 0.5
 #: Opens the key under which a word is counted without its context.
@@ -116,6 +122,70 @@ def bands(words: list[str]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(sig[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - 2**63 for k in range(BANDS)]
 
 
+class Copy:
+    """A text as near-copies are compared."""
+
+    def __init__(self, text: str) -> None:
+        self.text = project(text, 2)
+        self.letters = letters(self.text)
+        self.words = _WORD.findall(self.text.lower())
+        self._all: set[int] | None = None
+
+    def shingles(self) -> set[int]:
+        if self._all is None:
+            self._all = set(_shingles(self.words).tolist())
+        return self._all
+
+
+class Asking(Copy):
+    """An open-ended text; its last word may be cut."""
+
+    def __init__(self, text: str) -> None:
+        super().__init__(_DOTS.sub("", project(text, 2)))
+        self.inner = set(_shingles(self.words[:-1]).tolist()) if len(self.words) > SHINGLE else set()
+        self.end = letters("".join(self.words[-SHINGLE - 1 :]))
+
+    def goes_on_in(self, full: Copy) -> bool:
+        """``full`` has 0.8 of the shingles, and goes on where this text ends.
+
+        Either the letters open ``full``, or its last words are in ``full`` with 0.8 of
+        the shingles before them, so that earlier differences do not matter.
+        """
+        at = full.letters.find(self.end)
+        if not self.inner or at < 0 or at + len(self.end) == len(full.letters):
+            return False
+        least = SIMILARITY * len(self.inner)
+        if len(self.inner & full.shingles()) < least:
+            return False
+        if len(self.letters) < len(full.letters) and full.letters.startswith(self.letters):
+            return True
+        tail, last, b = self.words[-SHINGLE - 1 : -1], self.words[-1], full.words
+        for j in range(len(b) - 1, SHINGLE - 1, -1):
+            if b[j].startswith(last) and b[j - SHINGLE : j] == tail and (len(b[j]) > len(last) or j + 1 < len(b)):
+                return len(self.inner.intersection(_shingles(b[:j]).tolist())) >= least
+        return False
+
+
+_copy, _asking = lru_cache(20_000)(Copy), lru_cache(5_000)(Asking)
+
+
+def _early_in_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts of sorted ``tbl, band, a, b, text_id, asks, text`` rows that another text of their cell goes on from."""
+    found: set[tuple[str, int]] = set()
+    for (tbl, *_), cell in groupby((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r[:4]):
+        members = list(cell)
+        full = [(r[4], _copy(r[6])) for r in members if not r[5]]
+        for r in members:
+            if r[5] and (tbl, r[4]) not in found:
+                asking = _asking(r[6])
+                if any(i != r[4] and asking.goes_on_in(c) for i, c in full):
+                    found.add((tbl, r[4]))
+        if len(found) > 10_000:
+            yield pd.DataFrame(sorted(found), columns=["tbl", "text_id"])
+            found.clear()
+    yield pd.DataFrame(sorted(found), columns=["tbl", "text_id"])
+
+
 def _seen_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of (tbl, context, word): closing a sentence, going on, last without a mark."""
     for frame in frames:
@@ -148,7 +218,7 @@ def cut_texts(records: DataFrame) -> DataFrame:
     def state(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for tbl, row_id, text, own in frame.itertuples(index=False):
+            for tbl, row_id, text, own, text_id in frame.itertuples(index=False):
                 words = _WORD.findall(project(text, 2).lower())
                 end = ending(text)
                 sure, matched = bool(end and end[2] == "cut"), False
@@ -161,24 +231,17 @@ def cut_texts(records: DataFrame) -> DataFrame:
                             elif letters(mine) == letters(full):
                                 matched = True
                     sure = sure and not matched
-                head = xxhash.xxh3_64_intdigest(" ".join(words[:3])) - 2**63
                 open_ = bool(end) and not sure and not matched
-                out.append((tbl, row_id, sure, open_, end[0] if open_ else None, end[1] if open_ else None, len(words), head, bands(words) if len(words) >= SHINGLE else []))
-            yield pd.DataFrame(out, columns=["tbl", "row_id", "sure", "open", "context", "word", "n_words", "head", "bands"])
+                out.append((tbl, row_id, sure, open_, end[0] if open_ else None, end[1] if open_ else None, text_id, bands(words) if len(words) >= SHINGLE else []))
+            yield pd.DataFrame(out, columns=["tbl", "row_id", "sure", "open", "context", "word", "text_id", "bands"])
 
     id_type = rows.schema["row_id"].dataType.simpleString()
-    states = stored(rows.select("tbl", "row_id", "text", "own").mapInPandas(state, f"tbl string, row_id {id_type}, sure boolean, open boolean, context string, word string, n_words int, head bigint, bands array<bigint>"))
+    rows = rows.withColumn("text_id", F.xxhash64("text"))
+    states = stored(rows.select("tbl", "row_id", "text", "own", "text_id").mapInPandas(state, f"tbl string, row_id {id_type}, sure boolean, open boolean, context string, word string, text_id bigint, bands array<bigint>"))
     sure = states.where("sure").select("tbl", "row_id")
     open_ = states.where("open")
 
-    # near-copies of open-ended texts: the longest text of each of their buckets
-    banded = states.select("tbl", "row_id", "open", "n_words", "head", F.explode("bands").alias("band"))
-    longest = banded.groupBy("tbl", "band", "head").agg(F.max(F.struct("n_words", "row_id")).alias("far"), F.count_if("open").alias("n_open"), F.count(F.lit(1)).alias("n"))
-    longest = longest.where("n > 1 and n_open > 0")
-    pairs = banded.where("open").join(longest, ["tbl", "band", "head"]).where("far.n_words > n_words").select("tbl", "row_id", F.col("far.row_id").alias("other")).distinct()
-    texts = rows.select("tbl", "row_id", "text")
-    near = pairs.join(texts, ["tbl", "row_id"]).join(texts.select("tbl", F.col("row_id").alias("other"), F.col("text").alias("full")), ["tbl", "other"])
-    early = near.where(_aligns_early("text", "full")).select("tbl", "row_id").distinct()
+    early = open_.join(_early_texts(rows, states), ["tbl", "text_id"], "left_semi").select("tbl", "row_id")
 
     # terminality of the others
     counted = rows.select("tbl", "text").mapInPandas(_seen_words, "tbl string, context string, word string, kind int, n bigint")
@@ -205,20 +268,22 @@ def cut_texts(records: DataFrame) -> DataFrame:
     return sure.unionByName(early).unionByName(by_word).distinct()
 
 
-def _aligns_early(short: str, full: str) -> Column:
-    from pyspark.sql import types as T
-
-    @F.pandas_udf(T.BooleanType())
-    def judge(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for s, t in zip(a, b, strict=True):
-            sw, tw = _WORD.findall(project(s, 2).lower()), _WORD.findall(project(t, 2).lower())
-            inner = set(_shingles(sw[:-1]).tolist()) if len(sw) > SHINGLE else set()
-            common = len(inner & set(_shingles(tw).tolist())) if inner else 0
-            out.append(bool(inner) and common >= SIMILARITY * len(inner) and ends_early(_DOTS.sub("", project(s, 2)), project(t, 2)))
-        return pd.Series(out)
-
-    return judge(short, full)
+def _early_texts(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """``tbl, text_id`` of the open-ended texts that a near-copy goes on from."""
+    banded = states.select("tbl", "text_id", "open", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("tbl", "band").agg(F.max("open").alias("any_open"), F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("any_open and lo <> hi")
+    members = stored(banded.join(buckets.select("tbl", "band"), ["tbl", "band"], "left_semi").groupBy("tbl", "band", "text_id").agg(F.max("open").alias("open")))
+    n_cells = lambda n: F.ceil(n / CELL).cast("int")
+    sizes = members.groupBy("tbl", "band").agg(n_cells(F.count(F.lit(1))).alias("as"), n_cells(F.count_if("open")).alias("bs"))
+    own = lambda n: F.pmod(F.xxhash64("text_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sized = members.join(sizes, ["tbl", "band"])
+    having = sized.select("tbl", "band", own("as").alias("a"), every("bs").alias("b"), "text_id", F.lit(False).alias("asks"))
+    asking = sized.where("open").select("tbl", "band", every("as").alias("a"), own("bs").alias("b"), "text_id", F.lit(True).alias("asks"))
+    texts = rows.groupBy("tbl", "text_id").agg(F.first("text").alias("text"))
+    cells = having.unionByName(asking).join(texts, ["tbl", "text_id"]).select("tbl", "band", "a", "b", "text_id", "asks", "text")
+    cells = cells.repartition("tbl", "band", "a", "b").sortWithinPartitions("tbl", "band", "a", "b")
+    return cells.mapInPandas(_early_in_cells, "tbl string, text_id bigint").distinct()
 
 
 def answer_records(ensemble: DataFrame) -> DataFrame:
