@@ -17,9 +17,10 @@ square of its distinct texts.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -45,6 +46,7 @@ _DOTS = re.compile(r"(?:\s*(?:\.\.+|…+))+\s*$")
 _CLOSERS = "\"'”’»“)]}*_ \n\t\r"
 _OPEN_CLOSE = {"“": "”", "«": "»", "„": "“", "(": ")", "[": "]", "{": "}", "‚": "‘"}
 _WORD = re.compile(r"\w+")
+_SENTENCE_END = re.compile(r"[\"'”’»“)\]}*_]*(?:[.!?](?!\w)|[ \t]*[\r\n])|\"\s*[,}\]]")
 _EDGE = "\"'“”„«»‚‘’.,;!?…()[]{}<>*|"
 _rng = np.random.default_rng(11)
 _A = _rng.integers(1, 2**31, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,13 +130,19 @@ class Copy:
     def __init__(self, text: str) -> None:
         self.text = project(text, 2)
         self.letters = letters(self.text)
-        self.words = _WORD.findall(self.text.lower())
-        self._all: set[int] | None = None
 
+    @cached_property
+    def words(self) -> list[str]:
+        return _WORD.findall(self.text.lower())
+
+    @cached_property
     def shingles(self) -> set[int]:
-        if self._all is None:
-            self._all = set(_shingles(self.words).tolist())
-        return self._all
+        return set(_shingles(self.words).tolist())
+
+    def sentence_ends(self, at: int) -> bool:
+        """A sentence, line or JSON string ends behind the first ``at`` letters."""
+        i = bisect_left(range(len(self.text)), at, key=lambda i: len(letters(self.text[:i])))
+        return bool(_SENTENCE_END.match(self.text, i))
 
 
 class Asking(Copy):
@@ -146,7 +154,7 @@ class Asking(Copy):
         self.end = letters("".join(self.words[-SHINGLE - 1 :]))
 
     def goes_on_in(self, full: Copy) -> bool:
-        """``full`` has 0.8 of the shingles, and goes on where this text ends.
+        """``full`` has 0.8 of the shingles, and its sentence goes on where this text ends.
 
         Either the letters open ``full``, or its last words are in ``full`` with 0.8 of
         the shingles before them, so that earlier differences do not matter.
@@ -155,14 +163,15 @@ class Asking(Copy):
         if not self.inner or at < 0 or at + len(self.end) == len(full.letters):
             return False
         least = SIMILARITY * len(self.inner)
-        if len(self.inner & full.shingles()) < least:
+        if len(self.inner & full.shingles) < least:
             return False
-        if len(self.letters) < len(full.letters) and full.letters.startswith(self.letters):
-            return True
-        tail, last, b = self.words[-SHINGLE - 1 : -1], self.words[-1], full.words
-        for j in range(len(b) - 1, SHINGLE - 1, -1):
-            if b[j].startswith(last) and b[j - SHINGLE : j] == tail and (len(b[j]) > len(last) or j + 1 < len(b)):
-                return len(self.inner.intersection(_shingles(b[:j]).tolist())) >= least
+        if full.letters.startswith(self.letters):
+            return not full.sentence_ends(len(self.letters))
+        while at >= 0 and at + len(self.end) < len(full.letters):
+            before = _WORD.findall(full.text.lower()[: bisect_left(range(len(full.text)), at + len(self.end), key=lambda i: len(letters(full.text[:i])))])
+            if len(self.inner.intersection(_shingles(before).tolist())) >= least and not full.sentence_ends(at + len(self.end)):
+                return True
+            at = full.letters.find(self.end, at + 1)
         return False
 
 
