@@ -154,10 +154,11 @@ class Asking(Copy):
         self.end = letters("".join(self.words[-SHINGLE - 1 :]))
 
     def goes_on_in(self, full: Copy) -> bool:
-        """``full`` has 0.8 of the shingles, and its sentence goes on where this text ends.
+        """``full`` has 0.8 of the shingles, and goes on where this text ends.
 
         Either the letters open ``full``, or its last words are in ``full`` with 0.8 of
-        the shingles before them, so that earlier differences do not matter.
+        the shingles before them and no end of a sentence behind, so that earlier
+        differences do not matter.
         """
         at = full.letters.find(self.end)
         if not self.inner or at < 0 or at + len(self.end) == len(full.letters):
@@ -166,7 +167,7 @@ class Asking(Copy):
         if len(self.inner & full.shingles) < least:
             return False
         if full.letters.startswith(self.letters):
-            return not full.sentence_ends(len(self.letters))
+            return True
         while at >= 0 and at + len(self.end) < len(full.letters):
             before = _WORD.findall(full.text.lower()[: bisect_left(range(len(full.text)), at + len(self.end), key=lambda i: len(letters(full.text[:i])))])
             if len(self.inner.intersection(_shingles(before).tolist())) >= least and not full.sentence_ends(at + len(self.end)):

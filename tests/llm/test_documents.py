@@ -91,7 +91,7 @@ def test_near_copies_that_differ_early_or_end_in_the_same_word(spark):
     words = [f"{a}{b}" for a in "abcdefg" for b in "qrstuvw"] + ["unmistakably"]
     full, longer = words[:39] + ["unmistakably"], words[:20] + ["other"] + words[21:46]
     rows = [(1, " ".join(full) + "."), (2, " ".join(longer) + "."), (3, " ".join(["another"] + words[1:36])), (4, " ".join(full)[:-4]), (5, " ".join(words[:33])), (6, " ".join(full))]
-    rows += [(7, " ".join(words[32:21:-1])), (8, " ".join(words[32:21:-1]) + ". " + " ".join(words[8::-1]) + ".")]  # a whole sentence
+    rows += [(7, " ".join(words[32:21:-1])), (8, "lead " + " ".join(words[32:21:-1]) + ". " + " ".join(words[8::-1]) + ".")]  # a whole sentence
     # elsewhere their last words end sentences, so only a near-copy tells
     rows += [(100 + 10 * k + i, f"no{k} no{i} " + " ".join(t.split()[-3:]) + ".") for k, (_, t) in enumerate(rows[2:5]) for i in range(5)]
     df = spark.createDataFrame([("e", i, t, None) for i, t in rows], "tbl string, row_id long, text string, own array<string>")
