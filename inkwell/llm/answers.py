@@ -1,10 +1,11 @@
 """Prompt and response pairs without a usable response.
 
 Kinds, in order of precedence: ``empty``, ``refusal``, ``copy``, ``truncated``,
-``other_language``.  Copies are found by containment of word shingles and verified by
-aligning the longest common subsequences with the prompt; refusals by aligning each
-sentence with refusal templates; cut answers by the operator for cut texts; the language
-by words as they are used in the answers asked for in each language.
+``other_language``.  Copies are found by containment of five-word shingles and verified
+by the longest common subsequence of words with the prompt; refusals by aligning each
+sentence, slot by slot, with refusal templates (module ``refusals``); cut answers by the
+operator for cut texts, whose pass over the texts is shared; the language by words as
+they are used in the answers asked for in each language.
 """
 
 from __future__ import annotations
@@ -13,52 +14,29 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.cuts import answer_records, cut_texts
+from inkwell.llm.cuts import answer_records, cut_texts, text_states
+from inkwell.llm.refusals import refuses
 from inkwell.llm.samples import FUNCTION_WORDS
+from inkwell.llm.shingles import SHINGLE, SIMILARITY
+from inkwell.operators.lineage import cut as stored
 
 #: Answers the word use of each language is counted on, at most.
 SAMPLE = 16384
-SHINGLE = 5
+#: Share of an answer's words that the alignment with the prompt must cover.
+ALIGNED = 0.9
 #: What stands for an answer that is not there, without punctuation.
 PLACEHOLDERS = {"", "null", "none", "nan", "na", "n a", "nil", "error", "no response", "no answer", "empty", "undefined", "unknown", "missing", "todo", "tbd", "not available", "leer", "vacío", "порожньо", "keine antwort", "sin respuesta", "немає відповіді"}
-#: Refusal sentences; an asterisk stands for any words.
-REFUSALS = (
-    "I’m sorry, but I can’t help with rating this sentence.",
-    "I cannot provide a label for this text.",
-    "I am unable to evaluate this content because it may touch on sensitive topics.",
-    "There is not enough information for me to assist with this request.",
-    "As a language assistant I must decline to judge the given pair.",
-    "Apologies – assessing * texts of this kind is something I won’t do.",
-    "Unfortunately this request goes against my guidelines, so no classification will be given.",
-    "I can’t assist with that request.",
-    "As an AI language model I cannot judge this sentence.",
-    "Es tut mir leid, aber ich kann diesen Satz nicht bewerten.",
-    "Dabei kann ich leider nicht helfen, weil der Inhalt heikel sein könnte.",
-    "Diese Anfrage verstößt gegen meine Richtlinien, daher vergebe ich keine Einstufung.",
-    "Als Sprachassistent muss ich die Beurteilung dieses Satzpaars ablehnen.",
-    "Lo siento, pero no puedo valorar esta frase.",
-    "Por desgracia no me es posible ayudar con esta petición.",
-    "Como asistente de lengua debo negarme a juzgar este par de frases.",
-    "Esta solicitud va en contra de mis normas, así que no daré ninguna clasificación.",
-    "Вибачте, але я не можу оцінити це речення.",
-    "На жаль, я не маю змоги допомогти з цим запитом.",
-    "Цей запит суперечить моїм правилам, тому класифікації не буде.",
-    "Як мовний помічник, я змушений відмовитися від оцінки цієї пари.",
-)
 #: Words of the prompt around the pair.
 FRAME = set("original corrected correction source target sentence sentences suggested suggestion classify the following is src tgt label text input output pair edit classification оригінал виправлено речення джерело satz korrigiert frase corregida oración".split())
 _FUNCTION_SETS = {l: frozenset(ws) for l, ws in FUNCTION_WORDS.items()}
 _WORD = re.compile(r"\w+")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _VERDICT = re.compile(r"\b(?:TP|TN|FN|FP[123]?)\b")
+_LABEL_WORDS = {"tp", "tn", "fn", "fp", "fp1", "fp2", "fp3"}
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“]*“|\"[^\"]*\"")
 _KEY = re.compile(r"\"\w+\"\s*:")
 
@@ -67,21 +45,22 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-_TEMPLATES = [_words(t.replace("*", " ")) for t in REFUSALS]
-
-
-def _lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b):
-            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
-    return row[-1]
+def common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence; one machine word of bits for a run of ``a``."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for y in b:
+        if hit := row & places.get(y, 0):
+            row = (row + hit | row - hit) & whole
+    return len(a) - row.bit_count()
 
 
 def blank(value: str | None) -> bool:
     """Null, blank, without a letter or digit, or only a placeholder."""
-    return value is None or " ".join(_words(value)) in PLACEHOLDERS
+    return value is None or (len(value) < 60 and " ".join(_words(value)) in PLACEHOLDERS) or not any(map(str.isalnum, value))
 
 
 def no_label(value: str | None) -> bool:
@@ -103,46 +82,43 @@ def plain(reasoning: str) -> str:
     return t
 
 
-def refuses(text: str) -> bool:
-    """A sentence is a refusal template but for a quarter of its words, and no verdict is given."""
-    if _VERDICT.search(text):
-        return False
-    for s in _SENTENCE.split(text):
-        w = _words(s)
-        if w and any(0.75 * len(t) <= len(w) + 1 and _lcs(w, t) >= 0.75 * len(t) and _lcs(w, t) >= 0.6 * len(w) for t in _TEMPLATES):
-            return True
-    return False
+def _shingles(words: list[str]) -> set[tuple[str, ...]]:
+    """Five-word shingles; a shorter text is one shingle."""
+    return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+
+
+def _covered(words: list[str], have: set[tuple[str, ...]]) -> int:
+    """Words that lie in a shingle of the prompt."""
+    lengths = sorted({len(x) for x in have})
+    end = n = 0
+    for i in range(len(words)):
+        for k in lengths:
+            if tuple(words[i : i + k]) in have:
+                n += i + k - max(end, i)
+                end = max(end, i + k)
+    return n
 
 
 def copies(text: str, *prompt: str | None) -> bool:
-    """Nothing but the prompt: shingles contained, the rest of the alignment empty."""
-    w = _words(text)
-    sides = [_words(p) for p in prompt if p]
-    if len(w) < 3 or not sides:
-        return False
+    """Nothing but the prompt.
+
+    Without the words that frame a prompt, 0.8 of the answer's words lie in shingles of
+    the prompt's sides, and the longest common subsequence with the sides, one behind the
+    other and again, leaves a tenth of them at most; a label is no copy of anything.  A
+    text of fewer than five words is one shingle, so it must stand there as a whole.
+    """
+    sides = [w for p in prompt if p and (w := _words(p))]
     known = {x for s in sides for x in s}
-    if sum(x in known for x in w) < 0.4 * len(w):
-        return False  # shingles cannot cover more than single words do
-    k = min(SHINGLE, len(w), *(len(s) or 1 for s in sides))
-    have = {tuple(s[i : i + k]) for s in sides for i in range(len(s) - k + 1)}
-    covered = [False] * len(w)
-    for i in range(len(w) - k + 1):
-        if tuple(w[i : i + k]) in have:
-            covered[i : i + k] = [True] * k
-    if sum(covered) < 0.4 * len(w):
+    words = [x for x in _words(text) if x in known or x not in FRAME]
+    if not words or not sides:
         return False
-    for s in sides:
-        for a, _, n in SequenceMatcher(None, w, s, autojunk=False).get_matching_blocks():
-            if n >= 2:
-                covered[a : a + n] = [True] * n
-    # a second run of the same side in the answer is a repetition of the prompt, too
-    for i in range(len(w) - 2):
-        if not all(covered[i : i + 3]) and any(tuple(w[i : i + 3]) == tuple(s[j : j + 3]) for s in sides for j in range(len(s) - 2)):
-            covered[i : i + 3] = [True] * 3
-    rest = [x for x, c in zip(w, covered, strict=True) if not c and x not in FRAME and x not in known]
-    if any(_VERDICT.fullmatch(x.upper()) for x in rest):
+    if sum(x in known for x in words) < SIMILARITY * len(words):
+        return False  # shingles cover no more than their words do
+    if _covered(words, {x for s in sides for x in _shingles(s)}) < SIMILARITY * len(words):
         return False
-    return len(rest) <= max(1, 0.1 * len(w))
+    twice = [x for s in (*sides, *sides) for x in s]
+    rest = len(words) - common_length(words, twice)
+    return rest <= max(1, (1 - ALIGNED) * len(words)) and not any(x in _LABEL_WORDS for x in words if x not in known)
 
 
 @dataclass
@@ -206,39 +182,28 @@ def defective_answers(answers: DataFrame, use: WordUse | None = None) -> DataFra
     Reads ``row_id, src, tgt, tp_fp_label, reasoning, answer_lang``; other columns are
     left alone.  A null reasoning or label is ``empty``; a null prompt side is not
     compared; a null or unknown ``answer_lang`` is never ``other_language``; repeated
-    rows are judged alike.  The judging pass is narrow; only defective rows are joined.
+    rows are judged alike.  One narrow pass reads the texts for all kinds and for the
+    operator of cut texts; only short rows are joined.
     """
     shared = answers.sparkSession.sparkContext.broadcast(use or word_use(answers))
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        u = shared.value
-        for frame in frames:
-            out = []
-            for row_id, src, tgt, label, reasoning, lang in frame.itertuples(index=False):
-                kind = None
-                if no_label(label) or blank(reasoning):
-                    kind = "empty"
-                else:
-                    text = plain(reasoning)
-                    if blank(text):
-                        kind = "empty"
-                    elif refuses(text):
-                        kind = "refusal"
-                    elif copies(text, src, tgt):
-                        kind = "copy"
-                    elif lang and u.language(reasoning, lang.strip().lower()):
-                        kind = "other_language"
-                if kind:
-                    out.append((row_id, kind))
-            yield pd.DataFrame(out, columns=["row_id", "kind"])
-
-    rows = answers.select("row_id", "src", "tgt", "tp_fp_label", "reasoning", "answer_lang")
-    id_type = rows.schema["row_id"].dataType.simpleString()
-    kinds = rows.mapInPandas(judge, f"row_id {id_type}, kind string")
-    cut = cut_texts(answer_records(answers)).select("row_id", F.lit(True).alias("cut")).distinct()
+    def judge(src: str | None, tgt: str | None, label: str | None, reasoning: str | None, lang: str | None) -> str | None:
+        if no_label(label) or blank(reasoning) or blank(text := plain(reasoning)):
+            return "empty"
+        if not _VERDICT.search(text) and refuses(text):
+            return "refusal"
+        if copies(text, src, tgt):
+            return "copy"
+        return "other_language" if lang and shared.value.language(reasoning, lang.strip().lower()) else None
+
+    prompt = answers.select("row_id", "src", "tgt", "tp_fp_label", "answer_lang", "reasoning")
+    records = answer_records(prompt, "src", "tgt", "tp_fp_label", "reasoning", "answer_lang")
+    states = stored(text_states(records, judge, "src", "tgt", "tp_fp_label", "reasoning", "answer_lang"))
+    kinds = states.where("kind is not null").select("row_id", "kind")
+    cut = cut_texts(records, states).select("row_id", F.lit(True).alias("cut"))
     both = kinds.join(cut, "row_id", "full")
     defect = F.when(F.col("kind").isin("empty", "refusal", "copy"), F.col("kind")).when(F.col("cut"), "truncated").otherwise(F.col("kind"))
-    return both.select("row_id", defect.alias("defect"))
+    return both.select("row_id", defect.alias("defect")).distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

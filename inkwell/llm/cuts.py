@@ -18,29 +18,25 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.confusables import consistent
+from inkwell.llm.shingles import SHINGLE, SIMILARITY, bands, hashes, shingle_hashes, word_hashes
 from inkwell.operators.lineage import cut as stored
 
-SHINGLE, SIMILARITY = 5, 0.8
-#: 12 bands of 4 rows: a pair at 0.8 is missed with probability 0.002.
-BANDS, ROWS = 12, 4
 #: Texts of a cell, and of those that ask in it; larger buckets have several cells.
 CELL = 2048
-#: Share of going on from which an ending counts as cut.
-GOES_ON = 0.5
-#: Opens the key under which a word is counted without its context.
-ALONE = "\x01"
+#: Share of going on from which an ending counts as cut, and the share taken before anything is counted.
+GOES_ON, PRIOR = 0.6, 0.1
+#: What goes before any count weighs in observations: before the word's, the context's, the word's in its context.
+WIDER = (0.5, 3, 0.5)
 _EDIT = re.compile(r"\{([^{}]*?)=>([^{}]*?)\}")
 _DOTS = re.compile(r"(?:\s*(?:\.\.+|…+))+\s*$")
 _CLOSERS = "\"'”’»“)]}*_ \n\t\r"
@@ -48,13 +44,15 @@ _OPEN_CLOSE = {"“": "”", "«": "»", "„": "“", "(": ")", "[": "]", "{":
 _WORD = re.compile(r"\w+")
 _SENTENCE_END = re.compile(r"[\"'”’»“)\]}*_]*(?:[.!?](?!\w)|[ \t]*[\r\n])|\"\s*[,}\]]")
 _EDGE = "\"'“”„«»‚‘’.,;!?…()[]{}<>*|"
-_rng = np.random.default_rng(11)
-_A = _rng.integers(1, 2**31, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+#: How a JSON object or list begins.
+_JSON = re.compile(r"\[\s*[\[\"'{]|\{\s*\"[^\"]*\"\s*:")
+_BEFORE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def project(aligned: str, side: int) -> str:
     """Source (1) or target (2) side of an inline alignment; an edit cut short counts as far as it goes."""
+    if "{" not in aligned:
+        return aligned
     text = _EDIT.sub(lambda m: m.group(side), aligned)
     head, brace, tail = text.rpartition("{")
     if brace and "}" not in tail:
@@ -72,24 +70,24 @@ def _core(token: str) -> str:
     return token.strip(_EDGE)
 
 
-def ending(text: str) -> tuple[str, str, str] | None:
-    """(words before, last word, how it ends): 'cut' for sure, 'open' without a mark; None when finished."""
+def ending(text: str) -> tuple[tuple[str, str], str, str] | None:
+    """(two words before, last word, how it ends): 'cut' for sure, 'open' without a mark; None when finished."""
     t = text.strip()
     bare = _DOTS.sub("", t)
     dotted = bare != t
     if not bare:
         return None
-    if bare[0] in "{[" and '":' in bare[:40] or bare[0] == "[" and bare[1:2] in "\"'{":
-        return None if bare[-1] in "}]" and not dotted else ("", "", "cut")
+    if _JSON.match(bare):
+        return None if bare[-1] in "}]" and not dotted else (("", ""), "", "cut")
     if bare[-1] in "}]" and _EDIT.search(bare[bare.rfind("{") :] or ""):
         bare = project(bare, 2).rstrip() if project(bare, 2).strip() else project(bare, 1)
     opens = _unclosed(bare)
     end = bare.rstrip(_CLOSERS)
-    if not end:
-        return None
+    if not any(map(str.isalnum, end)):
+        return None  # signs that stand for an empty text
     tokens = bare.split()
     last = _core(tokens[-1]) or tokens[-1]
-    before = " ".join(_core(x) for x in tokens[-3:-1])
+    before = ("", "", *map(_core, tokens[-3:-1]))[-2:]
     ordinal = bool(re.fullmatch(r"\d+\.", tokens[-1]))
     if end[-1] in ".!?" and not dotted and not ordinal:
         return None
@@ -111,19 +109,6 @@ def ends_early(short: str, full: str) -> bool:
     return len(a) < len(b) and len(a) >= 1 and b.startswith(a)
 
 
-def _shingles(words: list[str]) -> np.ndarray:
-    n = len(words) - SHINGLE + 1
-    return np.fromiter((xxhash.xxh3_64_intdigest(" ".join(words[i : i + SHINGLE])) for i in range(max(1, n))), np.uint64)
-
-
-def bands(words: list[str]) -> list[int]:
-    """Band hashes of a text's min-hash signature."""
-    s = _shingles(words)
-    with np.errstate(over="ignore"):
-        sig = ((s[:, None] ^ (s[:, None] >> np.uint64(29))) * _A + _B).min(axis=0)
-    return [xxhash.xxh3_64_intdigest(sig[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - 2**63 for k in range(BANDS)]
-
-
 class Copy:
     """A text as near-copies are compared."""
 
@@ -137,7 +122,7 @@ class Copy:
 
     @cached_property
     def shingles(self) -> set[int]:
-        return set(_shingles(self.words).tolist())
+        return set(shingle_hashes(self.words).tolist())
 
     def sentence_ends(self, at: int) -> bool:
         """A sentence, line or JSON string ends behind the first ``at`` letters."""
@@ -150,7 +135,7 @@ class Asking(Copy):
 
     def __init__(self, text: str) -> None:
         super().__init__(_DOTS.sub("", project(text, 2)))
-        self.inner = set(_shingles(self.words[:-1]).tolist()) if len(self.words) > SHINGLE else set()
+        self.inner = set(shingle_hashes(self.words[:-1]).tolist()) if len(self.words) > SHINGLE else set()
         self.end = letters("".join(self.words[-SHINGLE - 1 :]))
 
     def goes_on_in(self, full: Copy) -> bool:
@@ -170,7 +155,7 @@ class Asking(Copy):
             return True
         while at >= 0 and at + len(self.end) < len(full.letters):
             before = _WORD.findall(full.text.lower()[: bisect_left(range(len(full.text)), at + len(self.end), key=lambda i: len(letters(full.text[:i])))])
-            if len(self.inner.intersection(_shingles(before).tolist())) >= least and not full.sentence_ends(at + len(self.end)):
+            if len(self.inner.intersection(shingle_hashes(before).tolist())) >= least and not full.sentence_ends(at + len(self.end)):
                 return True
             at = full.letters.find(self.end, at + 1)
         return False
@@ -196,84 +181,138 @@ def _early_in_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(sorted(found), columns=["tbl", "text_id"])
 
 
+def _context(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """One number for the two words (given by their hashes) that stand before a word."""
+    with np.errstate(over="ignore"):
+        return (before * _BEFORE[0] + last * _BEFORE[1]).view(np.int64)
+
+
+def _alone(word: np.ndarray) -> np.ndarray:
+    """The number under which a word is counted without its context."""
+    with np.errstate(over="ignore"):
+        return ((word ^ (word >> np.uint64(32))) * _BEFORE[0] + np.uint64(1)).view(np.int64)
+
+
+def _count_words(texts: list[str]) -> pd.DataFrame:
+    """Counts of (context, word) closing a sentence (kind 0), going on (1), last without a mark (2)."""
+    tokens = [project(t, 2).split() for t in texts]
+    n = np.array([len(t) for t in tokens if t], np.int64)
+    if not len(n):
+        return pd.DataFrame({"context": [], "word": [], "alone": [], "kind": [], "n": []})
+    code, spelled = pd.factorize(np.array([*chain.from_iterable(tokens), ""], object)[:-1])
+    cores = [_core(t) for t in spelled]
+    tails = [t.rstrip(_CLOSERS)[-1:] for t in spelled]
+    closes = np.array([c in ("!", "?") or (c == "." and not t[:-1].isdigit()) for t, c in zip(spelled, tails, strict=True)])
+    dots = np.array([c == "." and t.endswith("..") for t, c in zip(spelled, tails, strict=True)])
+    h = word_hashes(cores)[code]
+    top = np.cumsum(n) - 1
+    start = top - n + 1
+    none = np.uint64(hashes[""])
+    p1 = np.concatenate(([none], h[:-1]))
+    p1[start] = none
+    p2 = np.concatenate(([none], p1[:-1]))
+    p2[start] = none
+    kind = np.where(closes[code], 0, 1)
+    last = np.zeros(len(code), bool)
+    last[top] = True
+    kind[last & (~closes[code] | dots[code])] = 2
+    words = np.array([*cores, ""], object)[:-1]
+    frames = []
+    for alone, context in ((False, _context(p2, p1)), (True, _alone(h))):
+        with np.errstate(over="ignore"):
+            key = (context.view(np.uint64) * _BEFORE[1] + h) * _BEFORE[0] + kind.astype(np.uint64)
+        _, first, count = np.unique(key, return_index=True, return_counts=True)
+        frames.append(pd.DataFrame({"context": context[first], "word": words[code[first]], "alone": alone, "kind": kind[first], "n": count}))
+    return pd.concat(frames)
+
+
 def _seen_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of (tbl, context, word): closing a sentence, going on, last without a mark."""
     for frame in frames:
-        counts: Counter = Counter()
-        for tbl, text in zip(frame["tbl"], frame["text"], strict=True):
-            tokens = project(text, 2).split()
-            cores = [_core(x) for x in tokens]
-            p2 = p1 = ""
-            top = len(tokens) - 1
-            for i, (tok, w) in enumerate(zip(tokens, cores, strict=True)):
-                tail = tok.rstrip(_CLOSERS)[-1:]
-                kind = 0 if tail in ("!", "?") or (tail == "." and not tok[:-1].isdigit() and not (tok.endswith("..") and i == top)) else 2 if i == top else 1
-                counts[tbl, f"{p2} {p1}", w, kind] += 1
-                counts[tbl, ALONE + w, w, kind] += 1
-                p2, p1 = p1, w
-        rows = [(*k, n) for k, n in counts.items()]
-        yield pd.DataFrame(rows, columns=["tbl", "context", "word", "kind", "n"])
-
-
-def cut_texts(records: DataFrame) -> DataFrame:
-    """``tbl, row_id`` of the cut texts among ``tbl, row_id, text, own`` records.
-
-    ``own`` holds the texts the record repeats in another form (or is empty).  Null,
-    empty and placeholder texts are no cases, and neither is a finished text without a
-    final mark; repeated rows are judged alike; texts of any length are read whole.
+        for tbl, part in frame.groupby("tbl", sort=False):
+            counts = _count_words(part["text"].tolist())
+            counts.insert(0, "tbl", tbl)
+            yield counts
+
+
+def _own_form(text: str, own: list[str | None]) -> tuple[bool, bool]:
+    """(ends before one of its own other forms, is as long as one)."""
+    early = whole = False
+    for side, full in zip((1, 2), own, strict=False):
+        if full:
+            mine = _DOTS.sub("", project(text, side))
+            if ends_early(mine, full):
+                early = True
+            elif letters(mine) == letters(full):
+                whole = True
+    return early and not whole, whole
+
+
+def text_states(records: DataFrame, judge: Callable[..., str | None] | None = None, *judged: str) -> DataFrame:
+    """What one pass reads off each text: how it ends, the numbers of its context, its bands.
+
+    ``judge`` is called with the values of the columns ``judged`` of every row, also of
+    those without a text, and gives the column ``kind``.
     """
-    spark = records.sparkSession
-    rows = records.where("text is not null and trim(text) <> ''")
 
     def state(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for tbl, row_id, text, own, text_id in frame.itertuples(index=False):
-                words = _WORD.findall(project(text, 2).lower())
-                end = ending(text)
-                sure, matched = bool(end and end[2] == "cut"), False
-                if end and not sure and own is not None:
-                    for side, full in zip((1, 2), own, strict=False):
-                        if full:
-                            mine = _DOTS.sub("", project(text, side))
-                            if ends_early(mine, full):
-                                sure = True
-                            elif letters(mine) == letters(full):
-                                matched = True
-                    sure = sure and not matched
-                open_ = bool(end) and not sure and not matched
-                out.append((tbl, row_id, sure, open_, end[0] if open_ else None, end[1] if open_ else None, text_id, bands(words) if len(words) >= SHINGLE else []))
-            yield pd.DataFrame(out, columns=["tbl", "row_id", "sure", "open", "context", "word", "text_id", "bands"])
-
-    id_type = rows.schema["row_id"].dataType.simpleString()
-    rows = rows.withColumn("text_id", F.xxhash64("text"))
-    states = stored(rows.select("tbl", "row_id", "text", "own", "text_id").mapInPandas(state, f"tbl string, row_id {id_type}, sure boolean, open boolean, context string, word string, text_id bigint, bands array<bigint>"))
+            texts = [t if isinstance(t, str) and t.strip() else "" for t in frame["text"]]
+            found = bands([_WORD.findall(project(t, 2).lower()) for t in texts])
+            ends = [ending(t) if t else None for t in texts]
+            sure, open_ = [], []
+            for t, end, own in zip(texts, ends, frame["own"], strict=True):
+                cut, whole = bool(end and end[2] == "cut"), False
+                if end and not cut and own is not None:
+                    cut, whole = _own_form(t, own)
+                sure.append(cut)
+                open_.append(bool(end) and not cut and not whole)
+            asked = [e if o else (("", ""), None, "") for e, o in zip(ends, open_, strict=True)]
+            p2, p1, w = (word_hashes(x) for x in ([e[0][0] for e in asked], [e[0][1] for e in asked], [e[1] or "" for e in asked]))
+            kinds = [judge(*v) for v in zip(*(frame[c] for c in judged), strict=True)] if judge else None
+            yield pd.DataFrame({
+                "tbl": frame["tbl"], "row_id": frame["row_id"], "text_id": frame["text_id"], "sure": sure, "open": open_,
+                "context": _context(p2, p1), "word": [e[1] for e in asked], "alone": _alone(w), "bands": found, "kind": kinds,
+            })
+
+    id_type = records.schema["row_id"].dataType.simpleString()
+    rows = records.select("tbl", "row_id", "text", "own", F.xxhash64("text").alias("text_id"), *judged)
+    return rows.mapInPandas(state, f"tbl string, row_id {id_type}, text_id bigint, sure boolean, open boolean, context bigint, word string, alone bigint, bands array<bigint>, kind string")
+
+
+def cut_texts(records: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """``tbl, row_id`` of the cut texts among ``tbl, row_id, text, own`` records.
+
+    ``own`` holds the texts the record repeats in another form (or is empty).  Null and
+    empty texts are no cases, and neither is a finished text without a final mark;
+    repeated rows are judged alike; texts of any length are read whole.  A text of fewer
+    than five words has no five-word shingle, so it has no near-copy and its closing
+    words decide.  ``states`` are the stored ``text_states`` of the records, where the
+    caller has them.
+    """
+    rows = records.select("tbl", "row_id", "text", "own").where("text is not null and trim(text) <> ''").withColumn("text_id", F.xxhash64("text"))
+    states = states if states is not None else stored(text_states(records))
     sure = states.where("sure").select("tbl", "row_id")
     open_ = states.where("open")
-
     early = open_.join(_early_texts(rows, states), ["tbl", "text_id"], "left_semi").select("tbl", "row_id")
 
     # terminality of the others
-    counted = rows.select("tbl", "text").mapInPandas(_seen_words, "tbl string, context string, word string, kind int, n bigint")
-    wanted = open_.groupBy("tbl", "context", "word").agg(F.count(F.lit(1)).alias("n_self"))
-    contexts = wanted.select("tbl", "context").union(wanted.select("tbl", F.concat(F.lit(ALONE), "word"))).distinct()
-    known = stored(counted.groupBy("tbl", "context", "word", "kind").agg(F.sum("n").alias("n")).join(contexts, ["tbl", "context"]))
-    in_context, alone = (known.where(c) for c in (~F.startswith("context", F.lit(ALONE)), F.startswith("context", F.lit(ALONE))))
+    counted = rows.select("tbl", "text").mapInPandas(_seen_words, "tbl string, context bigint, word string, alone boolean, kind int, n bigint")
+    wanted = open_.groupBy("tbl", "context", "word", "alone").agg(F.count(F.lit(1)).alias("n_self"))
+    contexts = wanted.select("tbl", "context").union(wanted.select("tbl", "alone")).distinct()
+    known = stored(counted.groupBy("tbl", "context", "word", "alone", "kind").agg(F.sum("n").alias("n")).join(contexts, ["tbl", "context"], "left_semi"))
     n_of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    in_context, single = known.where("not alone"), known.where("alone")
     exact = in_context.groupBy("tbl", "context", "word").agg(n_of(0).alias("ends"), n_of(1).alias("on"), n_of(2).alias("last"))
     longer = in_context.select("tbl", "context", "n", F.explode(F.expr("transform(sequence(1, greatest(1, length(word) - 1)), k -> left(word, k))")).alias("prefix"), "word").where("prefix <> word")
     longer = longer.groupBy("tbl", "context", F.col("prefix").alias("word")).agg(F.sum("n").alias("longer"))
     whole = in_context.groupBy("tbl", "context").agg(n_of(0).alias("c_ends"), n_of(1).alias("c_on"))
-    single = alone.groupBy("tbl", "word").agg(n_of(0).alias("w_ends"), n_of(1).alias("w_on"))
-    x = wanted.join(exact, ["tbl", "context", "word"], "left").join(longer, ["tbl", "context", "word"], "left").join(whole, ["tbl", "context"], "left").join(single, ["tbl", "word"], "left").na.fill(0)
+    single = single.groupBy("tbl", F.col("context").alias("alone")).agg(n_of(0).alias("w_ends"), n_of(1).alias("w_on"))
+    x = wanted.join(exact, ["tbl", "context", "word"], "left").join(longer, ["tbl", "context", "word"], "left").join(whole, ["tbl", "context"], "left").join(single, ["tbl", "alone"], "left").na.fill(0)
     ends = F.col("ends") + F.greatest(F.col("last") - F.col("n_self"), F.lit(0)) + F.when(F.col("n_self") > 1, F.col("n_self") - 1).otherwise(0)
-    goes_on = F.col("on") + F.col("longer")
-    verdict = (
-        F.when(ends + goes_on > 0, goes_on > GOES_ON * (ends + goes_on))
-        .when(F.col("c_ends") + F.col("c_on") >= 3, F.col("c_on") > GOES_ON * (F.col("c_ends") + F.col("c_on")))
-        .otherwise(F.col("w_on") > GOES_ON * (F.col("w_ends") + F.col("w_on")))
-    )
-    cut_ends = x.where(verdict).select("tbl", "context", "word")
+    going = F.lit(PRIOR)
+    for on, over, weight in ((F.col("w_on"), F.col("w_ends"), WIDER[0]), (F.col("c_on"), F.col("c_ends"), WIDER[1]), (F.col("on") + F.col("longer"), ends, WIDER[2])):
+        going = (on + weight * going) / (on + over + weight)
+    cut_ends = x.where(going > GOES_ON).select("tbl", "context", "word")
     by_word = open_.join(cut_ends, ["tbl", "context", "word"], "left_semi").select("tbl", "row_id")
     return sure.unionByName(early).unionByName(by_word).distinct()
 
@@ -296,8 +335,8 @@ def _early_texts(rows: DataFrame, states: DataFrame) -> DataFrame:
     return cells.mapInPandas(_early_in_cells, "tbl string, text_id bigint").distinct()
 
 
-def answer_records(ensemble: DataFrame) -> DataFrame:
-    return ensemble.select(F.lit("ensemble").alias("tbl"), "row_id", F.col("reasoning").alias("text"), F.lit(None).cast("array<string>").alias("own"))
+def answer_records(ensemble: DataFrame, *kept: str) -> DataFrame:
+    return ensemble.select(F.lit("ensemble").alias("tbl"), "row_id", F.col("reasoning").alias("text"), F.lit(None).cast("array<string>").alias("own"), *kept)
 
 
 def alignment_records(gold: DataFrame) -> DataFrame:
