@@ -42,6 +42,7 @@ _DOTS = re.compile(r"(?:\s*(?:\.\.+|…+))+\s*$")
 _CLOSERS = "\"'”’»“)]}*_ \n\t\r"
 _OPEN_CLOSE = {"“": "”", "«": "»", "„": "“", "(": ")", "[": "]", "{": "}", "‚": "‘"}
 _WORD = re.compile(r"\w+")
+_LETTERS = re.compile(r"[^\W_]+")
 _SENTENCE_END = re.compile(r"[\"'”’»“)\]}*_]*(?:[.!?](?!\w)|[ \t]*[\r\n])|\"\s*[,}\]]")
 _EDGE = "\"'“”„«»‚‘’.,;!?…()[]{}<>*|"
 #: How a JSON object or list begins.
@@ -63,7 +64,7 @@ def project(aligned: str, side: int) -> str:
 
 def letters(text: str) -> str:
     """What alignment compares: letters and digits in one form and case."""
-    return "".join(c for c in consistent(text).casefold() if c.isalnum())
+    return "".join(_LETTERS.findall(consistent(text).casefold()))
 
 
 def _core(token: str) -> str:
@@ -114,7 +115,10 @@ class Copy:
 
     def __init__(self, text: str) -> None:
         self.text = project(text, 2)
-        self.letters = letters(self.text)
+
+    @cached_property
+    def letters(self) -> str:
+        return letters(self.text)
 
     @cached_property
     def words(self) -> list[str]:
@@ -126,8 +130,11 @@ class Copy:
 
     def sentence_ends(self, at: int) -> bool:
         """A sentence, line or JSON string ends behind the first ``at`` letters."""
-        i = bisect_left(range(len(self.text)), at, key=lambda i: len(letters(self.text[:i])))
-        return bool(_SENTENCE_END.match(self.text, i))
+        return bool(_SENTENCE_END.match(self.text, self._place(at)))
+
+    def _place(self, at: int) -> int:
+        """Where in the text its first ``at`` letters end."""
+        return bisect_left(range(len(self.text)), at, key=lambda i: len(letters(self.text[:i])))
 
 
 class Asking(Copy):
@@ -135,8 +142,14 @@ class Asking(Copy):
 
     def __init__(self, text: str) -> None:
         super().__init__(_DOTS.sub("", project(text, 2)))
-        self.inner = set(shingle_hashes(self.words[:-1]).tolist()) if len(self.words) > SHINGLE else set()
-        self.end = letters("".join(self.words[-SHINGLE - 1 :]))
+
+    @cached_property
+    def inner(self) -> set[int]:
+        return set(shingle_hashes(self.words[:-1]).tolist()) if len(self.words) > SHINGLE else set()
+
+    @cached_property
+    def end(self) -> str:
+        return letters("".join(self.words[-SHINGLE - 1 :]))
 
     def goes_on_in(self, full: Copy) -> bool:
         """``full`` has 0.8 of the shingles, and goes on where this text ends.
@@ -145,16 +158,16 @@ class Asking(Copy):
         the shingles before them and no end of a sentence behind, so that earlier
         differences do not matter.
         """
-        at = full.letters.find(self.end)
-        if not self.inner or at < 0 or at + len(self.end) == len(full.letters):
-            return False
         least = SIMILARITY * len(self.inner)
-        if len(self.inner & full.shingles) < least:
+        if not self.inner or len(self.inner & full.shingles) < least:
+            return False
+        at = full.letters.find(self.end)
+        if at < 0 or at + len(self.end) == len(full.letters):
             return False
         if full.letters.startswith(self.letters):
             return True
         while at >= 0 and at + len(self.end) < len(full.letters):
-            before = _WORD.findall(full.text.lower()[: bisect_left(range(len(full.text)), at + len(self.end), key=lambda i: len(letters(full.text[:i])))])
+            before = _WORD.findall(full.text.lower()[: full._place(at + len(self.end))])
             if len(self.inner.intersection(shingle_hashes(before).tolist())) >= least and not full.sentence_ends(at + len(self.end)):
                 return True
             at = full.letters.find(self.end, at + 1)

@@ -13,13 +13,11 @@ elsewhere, so this loses nothing.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +35,16 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def without_instruction(texts: list[str], least: int = 2) -> list[str]:
-    """Texts without an opening line that ends in a colon and opens several of them."""
-    head = lambda t: t.partition(":")[0] if ":" in t else None
-    common = Counter(h for t in texts if (h := head(t)) is not None and len(words(h)) >= 4)
-    return [t.partition(":")[2] if common.get(head(t) or "", 0) >= least else t for t in texts]
+def plain_items(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """``item_id, text`` without the opening instruction.
+
+    An instruction ends in the item's first colon, has no end of a sentence before it,
+    and opens several items that go on differently; equal items have no instruction.
+    """
+    parts = [F.regexp_extract(text, r"(?s)^([^:.!?…]*:)(.*)$", g) for g in (1, 2)]
+    rows = items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(text).alias("text"), parts[0].alias("head"), parts[1].alias("rest"))
+    common = rows.where("head <> ''").groupBy("head").agg((F.min("rest") < F.max("rest")).alias("instruction")).where("instruction")
+    return rows.join(common, "head", "left").select("item_id", F.when(F.col("instruction"), F.col("rest")).otherwise(F.col("text")).alias("text"))
 
 
 class Wavelet:
@@ -129,25 +132,39 @@ class FMIndex:
 
 
 @dataclass
-class Phrases:
-    """Words of the items as letters (2, 3, ...; 1 is any other) and all their phrases."""
+class Block:
+    """All phrases of some items: rows of letters, and each one's item by its number in ``ids``."""
 
-    letter: dict[str, int]
     phrases: np.ndarray
     item: np.ndarray
+    ids: list
+
 
-    @classmethod
-    def of(cls, ids: list, texts: list[str]) -> Phrases:
-        letter: dict[str, int] = {}
-        rows, owner = [], []
-        for i, t in zip(ids, texts, strict=True):
-            seq = np.array([letter.setdefault(w, len(letter) + 2) for w in words(t)], np.int64)
-            if len(seq) >= PHRASE:
-                windows = np.lib.stride_tricks.sliding_window_view(seq, PHRASE)
-                rows.append(windows)
-                owner.append(np.full(len(windows), i))
+def _blocks(rows: Iterator, letter: dict[str, int]) -> Iterator[Block]:
+    """Items in blocks of at most BLOCK_WORDS words (or of one longer item); new words get the next letter."""
+    ids: list = []
+    parts: list[np.ndarray] = []
+    owner: list[np.ndarray] = []
+    size = 0
+
+    def block() -> Block:
         empty = np.zeros((0, PHRASE), np.int64)
-        return cls(letter, np.concatenate(rows) if rows else empty, np.concatenate(owner) if owner else np.zeros(0, np.int64))
+        return Block(np.concatenate([empty, *parts]), np.concatenate([np.zeros(0, np.int64), *owner]), list(ids))
+
+    for item, text in rows:
+        seq = np.array([letter.setdefault(w, len(letter) + 2) for w in words(text)], np.int64)
+        if len(seq) < PHRASE:
+            continue
+        if ids and size + len(seq) > BLOCK_WORDS:
+            yield block()
+            ids, parts, owner, size = [], [], [], 0
+        windows = np.lib.stride_tricks.sliding_window_view(seq, PHRASE)
+        parts.append(windows)
+        owner.append(np.full(len(windows), len(ids)))
+        ids.append(item)
+        size += len(seq)
+    if ids:
+        yield block()
 
 
 def _runs(seq: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -158,27 +175,34 @@ def _runs(seq: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(a), seq[a:b]
 
 
-def search_shard(p: Phrases, runs: list[tuple[object, int, np.ndarray]]) -> pd.DataFrame:
-    """doc_id, item_id, first_word, last_word of the merged spans in one shard."""
-    gap, end = np.ones(1, np.int64), np.zeros(1, np.int64)
-    seq = np.concatenate([x for _, _, r in runs for x in (r, gap)] + [end])  # a last letter of its own
-    starts = np.cumsum([0, *(len(r) + 1 for _, _, r in runs)])[:-1]
-    index = FMIndex(seq, len(p.letter) + 2)
-    lo, hi = index.search(p.phrases)
-    n = hi - lo
-    hit = np.flatnonzero(n)
-    rows = np.repeat(lo[hit] - np.concatenate(([0], np.cumsum(n[hit])[:-1])), n[hit]) + np.arange(int(n[hit].sum()))
-    place = index.locate(rows)
-    run = np.searchsorted(starts, place, side="right") - 1
-    # the first word's number in the document: the stretch's own number plus the offset in it
-    first = place - starts[run] + np.array([a for _, a, _ in runs], np.int64)[run]
-    doc_no = pd.factorize(pd.Series([d for d, _, _ in runs], dtype=object))
-    x = pd.DataFrame({"doc": doc_no[0][run], "item_id": p.item[np.repeat(hit, n[hit])], "first_word": first}).sort_values(["doc", "item_id", "first_word"])
-    new = (x[["doc", "item_id"]].diff().fillna(1) != 0).any(axis=1) | (x["first_word"].diff() > PHRASE)
-    spans = x.groupby(new.cumsum().to_numpy()).agg(doc=("doc", "first"), item_id=("item_id", "first"), first_word=("first_word", "min"), last_word=("first_word", "max"))
-    spans["last_word"] += PHRASE - 1
-    spans.insert(0, "doc_id", doc_no[1].to_numpy()[spans.pop("doc").to_numpy()])
-    return spans
+class Shard:
+    """The stretches of some documents with their index, which every block of items is searched in."""
+
+    def __init__(self, letters: int, runs: list[tuple[object, int, np.ndarray]]) -> None:
+        gap, end = np.ones(1, np.int64), np.zeros(1, np.int64)
+        seq = np.concatenate([x for _, _, r in runs for x in (r, gap)] + [end])  # a last letter of its own
+        self.starts = np.cumsum([0, *(len(r) + 1 for _, _, r in runs)])[:-1]
+        self.first = np.array([a for _, a, _ in runs], np.int64)
+        self.doc, self.docs = pd.factorize(pd.Series([d for d, _, _ in runs], dtype=object))
+        self.index = FMIndex(seq, letters)
+
+    def spans(self, block: Block) -> pd.DataFrame:
+        """doc_id, item_id, first_word, last_word of the merged spans."""
+        lo, hi = self.index.search(block.phrases)
+        n = hi - lo
+        hit = np.flatnonzero(n)
+        rows = np.repeat(lo[hit] - np.concatenate(([0], np.cumsum(n[hit])[:-1])), n[hit]) + np.arange(int(n[hit].sum()))
+        place = self.index.locate(rows)
+        run = np.searchsorted(self.starts, place, side="right") - 1
+        # the first word's number in the document: the stretch's own number plus the offset in it
+        first = place - self.starts[run] + self.first[run]
+        x = pd.DataFrame({"doc": self.doc[run], "item": block.item[np.repeat(hit, n[hit])], "first_word": first}).sort_values(["doc", "item", "first_word"])
+        new = (x[["doc", "item"]].diff().fillna(1) != 0).any(axis=1) | (x["first_word"].diff() > PHRASE)
+        spans = x.groupby(new.cumsum().to_numpy()).agg(doc=("doc", "first"), item=("item", "first"), first_word=("first_word", "min"), last_word=("first_word", "max"))
+        spans["last_word"] += PHRASE - 1
+        spans.insert(0, "doc_id", self.docs.to_numpy()[spans.pop("doc").to_numpy()])
+        spans.insert(1, "item_id", [block.ids[i] for i in spans.pop("item")])
+        return spans
 
 
 def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -186,49 +210,37 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
 
     A passage is ten and more consecutive words, compared without case, punctuation and
     spacing; words are numbered from 0; overlapping phrases of one item are one span.
-    The items are the stated query set: they are read to the driver and sent out in
-    blocks of at most BLOCK_WORDS words, each block a pass over all documents.  Null,
-    empty and short texts on either side give nothing; repeated items and documents give
-    a span each; other columns are not read.  Narrow on the documents' side: no shuffle.
+    The items are the stated query set: they go out in blocks of at most BLOCK_WORDS
+    words, and a task reads one block after the other into the index of its shard, so
+    the documents are read and indexed once.  Null, empty and short texts on either side
+    give nothing; ids are of any type; repeated items and documents give a span each;
+    other columns are not read.  Narrow on the documents' side: no shuffle.
     """
-    rows = [r for r in items.select(item_id, text).toLocalIterator() if r[1] is not None]
-    plain = without_instruction([r[1] for r in rows])
-    blocks: list[Phrases] = []
-    at = 0
-    while at < len(rows):
-        end, size = at, 0
-        while end < len(rows) and (end == at or size + len(plain[end]) // 2 < BLOCK_WORDS):
-            size += len(plain[end]) // 2
-            end += 1
-        blocks.append(Phrases.of([r[0] for r in rows[at:end]], plain[at:end]))
-        at = end
+    sc = docs.sparkSession.sparkContext
+    letter: dict[str, int] = {}
+    sent = [sc.broadcast(b) for b in _blocks(((r[0], r[1]) for r in plain_items(items, item_id, text).toLocalIterator()), letter)]
+    letters = sc.broadcast(letter)
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     doc_type = kept.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {doc_type}, item_id {items.schema[item_id].dataType.simpleString()}, first_word bigint, last_word bigint"
-    out = None
-    for block in blocks or [Phrases.of([], [])]:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pd.DataFrame]:
-            p = shared.value
-            letter, runs, size = p.letter.get, [], 0
-            if not len(p.phrases):
-                return
-            for batch in batches:
-                for d, t in zip(batch["doc_id"], batch["text"], strict=True):
-                    seq = np.fromiter((letter(w, 1) for w in words(t)), np.int64)
-                    for first, r in _runs(seq):
-                        runs.append((d, first, r))
-                        size += len(r) + 1
-                    if size >= SHARD_WORDS:
-                        yield search_shard(p, runs)
-                        runs, size = [], 0
-            if runs:
-                yield search_shard(p, runs)
-
-        found = kept.mapInPandas(search, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find, runs, size = letters.value.get, [], 0
+        for batch in batches:
+            for d, t in zip(batch["doc_id"], batch["text"], strict=True):
+                seq = np.fromiter((find(w, 1) for w in words(t)), np.int64)
+                for first, r in _runs(seq):
+                    runs.append((d, first, r))
+                    size += len(r) + 1
+                if size >= SHARD_WORDS:
+                    shard = Shard(len(letters.value) + 2, runs)
+                    yield from (shard.spans(b.value) for b in sent)
+                    runs, size = [], 0
+        if runs:
+            shard = Shard(len(letters.value) + 2, runs)
+            yield from (shard.spans(b.value) for b in sent)
+
+    return kept.mapInPandas(search, schema)
 
 
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,9 +27,9 @@ _WORDS = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
 ORACLE: dict[str, str] = {
     "p4_found": f"WITH {_SETS} SELECT first_id AS row_id_a, row_id AS row_id_b FROM m WHERE row_id <> first_id",
     "p4_collapsed": f"WITH {_SETS} SELECT g.row_id, coalesce(m.copies, 1) AS copies FROM gold_annotations g LEFT JOIN m USING (row_id) WHERE m.row_id IS NULL OR m.row_id = m.first_id",
-    "p8_found": f"""WITH i AS (SELECT item_id, text, CASE WHEN contains(text, ':') THEN split_part(text, ':', 1) END AS h FROM benchmark_items),
-c AS (SELECT h FROM i WHERE h IS NOT NULL AND len({_WORDS.format(c='h')}) >= 4 GROUP BY h HAVING count(*) >= 2),
-w AS (SELECT item_id, {_WORDS.format(c="CASE WHEN h IN (SELECT h FROM c) THEN substr(text, strpos(text, ':') + 1) ELSE text END")} AS w FROM i),
+    "p8_found": f"""WITH i AS (SELECT item_id, text, regexp_extract(text, '(?s)^([^:.!?…]*:)', 1) AS h FROM benchmark_items WHERE text IS NOT NULL),
+c AS (SELECT h FROM i WHERE h <> '' GROUP BY h HAVING count(DISTINCT substr(text, length(h) + 1)) >= 2),
+w AS (SELECT item_id, {_WORDS.format(c="CASE WHEN h IN (SELECT h FROM c) THEN substr(text, length(h) + 1) ELSE text END")} AS w FROM i),
 g AS (SELECT DISTINCT item_id, array_to_string(w[j:j+9], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS j FROM w)),
 d AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents WHERE text IS NOT NULL),
 e AS (SELECT DISTINCT doc_id, array_to_string(w[j:j+9], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS j FROM d))

@@ -12,22 +12,40 @@ from inkwell.llm.samples import LANGS
 SF = "/root/testdata/sf0.01"
 
 
+def plain_texts(spark, items):
+    rows = leaks.plain_items(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").collect()
+    return dict(map(tuple, rows))
+
+
+def test_instructions(spark):
+    twice = "The old mill is known for one thing: it ground flour day and night"
+    got = plain_texts(spark, [(1, twice), (2, twice), (3, "Q: one"), (4, "Q: two"), (5, "He left. Then: no"), (6, "He left. Then: yes"), (7, None)])
+    assert got == {1: twice, 2: twice, 3: " one", 4: " two", 5: "He left. Then: no", 6: "He left. Then: yes"}
+
+
+def test_items_with_string_ids(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    dd = spark.createDataFrame([("d", text), (None, text)], "doc_id string, text string")
+    ii = spark.createDataFrame([("i", text)], "item_id string, text string")
+    assert sorted(map(tuple, leaks.leaked_spans(dd, ii).collect()), key=repr) == [("d", "i", 0, 11), (None, "i", 0, 11)]
+
+
 def test_leaks_against_brute_force(spark):
     rnd = random.Random(3)
     vocab = [f"w{i}" for i in range(30)]
     items = [(i, ("Correct the text below please: " if i % 2 else "") + " ".join(rnd.choice(vocab) for _ in range(25))) for i in range(8)] + [(90, None), (91, ""), (92, "too short")]
+    plain = plain_texts(spark, items)
     docs = []
     for d in range(120):
         w = [rnd.choice(vocab + ["other"]) for _ in range(rnd.randint(0, 60))]
         if d % 3 == 0:
-            x = leaks.words(leaks.without_instruction([t for _, t in items[:8]])[rnd.randrange(8)])
+            x = leaks.words(plain[rnd.randrange(8)])
             a = rnd.randrange(len(x) - 9)
             w[len(w) // 2 : len(w) // 2] = [y.upper() for y in x[a : a + rnd.randint(8, 14)]]
         docs.append((d, ",  ".join(w)))
     docs += [(200, None), (201, ""), (0, docs[0][1])]
-    plain = leaks.without_instruction([t for _, t in items if t is not None])
     grams: dict = {}
-    for (i, _), t in zip([x for x in items if x[1] is not None], plain, strict=True):
+    for i, t in plain.items():
         w = leaks.words(t)
         for k in range(len(w) - 9):
             grams.setdefault(tuple(w[k : k + 10]), set()).add(i)

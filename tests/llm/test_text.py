@@ -68,7 +68,7 @@ def test_disguised(text, form):
 
 @pytest.mark.parametrize("text", ["tab\tand\nline", "“quotes” — …", "№ 5 ½", "За́мок", "👩‍💻 works", "слово word слово", "68.ª vez", "naïve café", ""])
 def test_not_disguised(text):
-    assert confusables.consistent(text) == text and not confusables.mixed_word(text)
+    assert confusables.consistent(text) == text and not confusables.odd_words(text)
 
 
 def test_disguised_fields_on_odd_tables(spark, decoder):
