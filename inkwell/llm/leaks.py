@@ -183,7 +183,9 @@ class Shard:
         seq = np.concatenate([x for _, _, r in runs for x in (r, gap)] + [end])  # a last letter of its own
         self.starts = np.cumsum([0, *(len(r) + 1 for _, _, r in runs)])[:-1]
         self.first = np.array([a for _, a, _ in runs], np.int64)
-        self.doc, self.docs = pd.factorize(pd.Series([d for d, _, _ in runs], dtype=object))
+        numbers: dict = {}
+        self.doc = np.array([numbers.setdefault(d, len(numbers)) for d, _, _ in runs], np.int64)
+        self.docs = list(numbers)
         self.index = FMIndex(seq, letters)
 
     def spans(self, block: Block) -> pd.DataFrame:
@@ -200,7 +202,7 @@ class Shard:
         new = (x[["doc", "item"]].diff().fillna(1) != 0).any(axis=1) | (x["first_word"].diff() > PHRASE)
         spans = x.groupby(new.cumsum().to_numpy()).agg(doc=("doc", "first"), item=("item", "first"), first_word=("first_word", "min"), last_word=("first_word", "max"))
         spans["last_word"] += PHRASE - 1
-        spans.insert(0, "doc_id", self.docs.to_numpy()[spans.pop("doc").to_numpy()])
+        spans.insert(0, "doc_id", pd.Series([self.docs[d] for d in spans.pop("doc")], index=spans.index, dtype=object))
         spans.insert(1, "item_id", [block.ids[i] for i in spans.pop("item")])
         return spans
 

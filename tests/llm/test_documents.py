@@ -169,3 +169,19 @@ def test_languages_on_held_out_text(spark):
 def test_labels_of_languages(spark):
     df = spark.createDataFrame([("EN",), (" ua ",), ("deu",), ("und",), ("",), (None,)], "l string")
     assert [r[0] for r in df.select(langs.known_label(F.col("l"))).collect()] == ["en", "uk", "de", None, None, None]
+
+
+def test_long_texts_are_read_in_windows():
+    tagger = langs.Tagger(bigru.BiGRU(len(langs.LANGS), 4))
+    long = "the cat sat on the mat " * 45_000  # a million characters beside a short one
+    p = tagger.read([long, "short one"])
+    assert [x.shape for x in p] == [(len(long), len(langs.LANGS)), (9, len(langs.LANGS))]
+    assert np.allclose(p[0].sum(axis=1), 1, atol=1e-3)
+
+
+def test_rules_of_a_long_sentence():
+    words = [f"w{i}" for i in range(5000)]
+    table = {(i,): (0.5, 0.5) for i in range(5000)} | {(i, i + 1, i + 2): (0.9, 0.1) for i in range(0, 4000, 3)}
+    rules = subjects.Rules(["a", "b"], {w: i for i, w in enumerate(words)}, table)
+    assert np.allclose(rules.belief(frozenset(range(5000))), (0.9, 0.1))
+    assert rules.belief(frozenset([1, 7])) == (0.5, 0.5) and rules.belief(frozenset()) is None

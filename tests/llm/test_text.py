@@ -74,7 +74,7 @@ def test_not_disguised(text):
 def test_disguised_fields_on_odd_tables(spark, decoder):
     df = spark.createDataFrame([(1, None, None, None), (2, "ｗ", "cafÃ© on Kepo Square", None), (3, "a b", "a b", "a b"), (3, "a b", "a b", None)], "row_id long, src string, tgt string, aligned string").withColumn("field", F.lit(1))
     got = confusables.disguised_fields(df, "row_id", "src", "tgt", "aligned", decoder=decoder)
-    assert sorted((r.row_id, r.field) for r in got.collect()) == [(3, "aligned"), (3, "src"), (3, "src")]
+    assert sorted((r.row_id, r.field) for r in got.collect()) == [(3, "aligned"), (3, "src")]
     classes = confusables.lookalike_classes(df, "row_id", "src", "tgt", "aligned").collect()
     assert [(r.spellings, r.fields) for r in classes] == [(2, 5)]
     assert confusables.disguised_fields(df.limit(0), "row_id", "src", decoder=decoder, check_garbled=()).count() == 0
@@ -140,3 +140,14 @@ def test_documents_encode_whole(spark, library):
     assert sorted((d, len(i)) for d, i in got if d)[:3] == [(1, 0), (2, 0), (3, 1)]
     assert (4, library.encode(long, add_special_tokens=False).ids) in got and len(got) == 6
     assert bpe.encode_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,form", [("Ꭰog", "Dog"), ("ꓐank", "Bank"), ("ցood", "good"), ("ⅽat", "cat"), ("ɡood", "good")])
+def test_letters_of_rare_scripts(text, form):
+    assert confusables.consistent(text) == form and confusables.skeleton(text) == form
+
+
+def test_class_decides_an_undecided_word(spark, decoder):
+    df = spark.createDataFrame([(1, "a ԍооd day"), (2, "a good day"), (3, "a good one"), (4, "Ⅳ. Kapitel")], "row_id long, src string")
+    got = confusables.disguised_fields(df, "row_id", "src", decoder=decoder)
+    assert [(r.row_id, r.form) for r in got.collect()] == [(1, "a good day")]
