@@ -62,7 +62,7 @@ def formatting_sets(df: DataFrame, id_col: str, left: str, right: str) -> DataFr
     )
     rows = cut(rows).where("not _blank")  # a short row each: the texts are read and stripped once
     several = rows.groupBy("_inv").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_inv")
-    members = rows.join(several, "_inv")
+    members = rows.join(several.hint("merge"), "_inv")  # one row a class grows with the rows: no broadcast
     sets = members.groupBy("_inv", "_key").agg(F.min("member_id").alias("set_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     return members.join(sets, ["_inv", "_key"]).select("set_id", "member_id", "copies")
 

@@ -40,8 +40,9 @@ def bounded_texts(df: DataFrame, text: Column, size: int, seed: int = 7) -> list
 
     The rows' hash space is cut into ``size`` cells and each cell keeps the text with
     the smallest second hash; partial aggregation leaves at most ``size`` rows a task.
-    The bound does not depend on the number of rows, so it may be collected.
+    The bound does not depend on the number of rows, so it may be collected; the texts
+    come in the order of their cells, which has nothing to do with what they say.
     """
     rows = df.select(text.alias("t")).where("t is not null and trim(t) <> ''")
     cells = rows.groupBy(F.pmod(F.xxhash64("t"), F.lit(size)).alias("cell")).agg(F.min_by("t", F.xxhash64(F.lit(seed), "t")).alias("t"))
-    return sorted(r.t for r in cells.select("t").collect())
+    return [r.t for r in sorted(cells.collect())]

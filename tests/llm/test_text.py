@@ -23,7 +23,7 @@ def corpus():
 
 @pytest.fixture(scope="module")
 def decoder():
-    return encoding.Decoder(corpus())
+    return encoding.Decoder(corpus(), sorted({encoding._inner(w) for t in corpus() for w in t.split()}))
 
 
 @pytest.mark.parametrize("shown,really", [("cp1252", "utf-8"), ("latin-1", "utf-8"), ("cp1251", "utf-8"), ("cp437", "utf-8"), ("mac_roman", "utf-8")])
