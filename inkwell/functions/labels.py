@@ -62,6 +62,12 @@ def four_class(c: Column) -> Column:
     return F.when(c == "TP-S", F.lit("TP")).when(c == "TP-W", F.lit("FP3")).when(c.isin(*LABELS), c).otherwise(F.lit("FP2"))
 
 
+def judged_class(c: Column) -> Column:
+    """Class of a judge's raw label; null, blank and 'Error' stay failures, other unknown labels are FP2."""
+    up = F.upper(F.trim(c))
+    return F.when(c.isNull() | up.isin("", "NAN", "ERROR"), F.lit("Error")).otherwise(four_class(up))
+
+
 def _first(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 

@@ -53,8 +53,8 @@ def fix_punctuation_spacing(c: Column) -> Column:
 
 
 def split_sentences(c: Column) -> Column:
-    """Sentences split after . ! ? before a capital, trimmed, empty ones dropped."""
-    parts = F.split(c, rf"(?<=[.!?])\s+(?=[{UPPER}])")
+    """Sentences of the text with its punctuation spaced: split after . ! ? before a capital, trimmed, empty ones dropped."""
+    parts = F.split(fix_punctuation_spacing(c), rf"(?<=[.!?])\s+(?=[{UPPER}])")
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
@@ -78,21 +78,16 @@ def similarity_words(c: Column) -> Column:
 
 
 def _common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, equal ends first."""
-    head = 0
-    while head < len(a) and head < len(b) and a[head] == b[head]:
-        head += 1
-    a, b = a[head:], b[head:]
-    tail = 0
-    while tail < len(a) and tail < len(b) and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b):
-            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
-    return head + tail + row[-1]
+    """Length of the longest common subsequence, by one row of bits over ``a``."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for y in b:
+        if hit := row & places.get(y, 0):
+            row = (row + hit | row - hit) & whole
+    return len(a) - row.bit_count()
 
 
 @F.pandas_udf(T.DoubleType())

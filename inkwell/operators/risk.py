@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,8 +17,13 @@ TEMPORAL = ("ayer", "hoy", "mañana", "antes", "después", "nunca", "siempre")
 MODALS = ("tal vez", "quizás", "puede", "podría", "debe", "debería", "definitivamente")
 ACCENTS = (("mas", "más"), ("si", "sí"), ("tu", "tú"), ("que", "qué"))
 CONTRACTIONS = (("a el", "al"), ("de el", "del"))
-#: Negation markers.
-NEGATION_MARKERS = {"en": ("not", "no", "never", "none", "nobody", "nothing", "without", "cannot"), "es": NEGATIONS}
+#: Negation markers of each language.
+NEGATION_MARKERS = {
+    "en": ("no", "not", "n't", "never", "neither", "nor", "without", "none", "nobody", "nothing"),
+    "es": ("no", "nunca", "jamás", "ni", "tampoco", "sin", "nada", "nadie", "ningún", "ninguna", "ninguno", "ningunas", "ningunos", "n't"),
+}
+#: Signs that open, the signs that close them, and those that do both.
+OPENING, CLOSING, BOTH = "«“‘([{", "»”’)]}", "\"'"
 
 
 def _words(c: Column) -> Column:
@@ -29,22 +35,20 @@ def _numbers(c: Column) -> Column:
 
 
 def escalation_flags(src: Column, tgt: Column, aligned: Column, label: Column) -> Column:
-    """Ordered, distinct risk flags; a changed pair without edits is one span."""
+    """Distinct risk flags in the order they first occur, span by span; a changed pair without edits is one span."""
     found = X.edits(aligned)
-    whole = F.array(F.struct(F.coalesce(src, F.lit("")).alias("old"), F.coalesce(tgt, F.lit("")).alias("new")))
-    spans = F.when((F.size(found) == 0) & (src != tgt), whole).otherwise(found)
-    some = lambda test: F.exists(spans, test)
-    capital = lambda c: F.filter(_words(c), lambda w: w.rlike(r"^[A-ZА-ЯІЇЄҐÄÖÜÁÉÍÓÚÑ]"))
+    whole = F.array(F.struct(src.alias("old"), tgt.alias("new")))
+    spans = F.when((F.size(found) == 0) & (src != "") & (tgt != "") & (src != tgt), whole).otherwise(found)
+    capital = lambda c: F.filter(_words(c), lambda w: w.rlike(r"^\p{Lu}"))
     changed = F.aggregate(spans, F.lit(0), lambda acc, e: acc + F.greatest(F.size(_words(e["old"])), F.size(_words(e["new"]))))
-    flags = [
-        F.when(some(lambda e: ~F.concat(e["old"], e["new"]).rlike(r"[\p{L}\p{N}]")), F.lit("punctuation_only")),
-        F.when(some(lambda e: _numbers(e["old"]) != _numbers(e["new"])), F.lit("number_change")),
-        F.when(some(lambda e: capital(e["old"]) != capital(e["new"])), F.lit("proper_noun_change")),
-        F.when(some(lambda e: F.concat(e["old"], e["new"]).rlike(r"https?://|www\.|@|[#{}()\[\]<>]")), F.lit("structured_token_change")),
-        F.when(changed >= 6, F.lit("long_rewrite_risk")),
-        F.when(label.isin("FP1", "FP2", "Error"), F.lit("low_trust_label")),
-    ]
-    return F.array_compact(F.array(*flags))
+    of_span = lambda e: F.array(
+        F.when(~F.concat(e["old"], e["new"]).rlike(r"[\p{L}\p{N}]"), F.lit("punctuation_only")),
+        F.when(_numbers(e["old"]) != _numbers(e["new"]), F.lit("number_change")),
+        F.when(capital(e["old"]) != capital(e["new"]), F.lit("proper_noun_change")),
+        F.when(F.concat(e["old"], e["new"]).rlike(r"https?://|www\.|@|[#{}()\[\]<>]"), F.lit("structured_token_change")),
+    )
+    of_row = F.array(F.when(changed >= 6, F.lit("long_rewrite_risk")), F.when(label.isin("FP1", "FP2", "Error"), F.lit("low_trust_label")))
+    return F.array_distinct(F.array_compact(F.concat(F.flatten(F.transform(spans, of_span)), of_row)))
 
 
 def routed(flags: Column, label: Column, backends: tuple[str, ...], labels: tuple[str, ...], on: tuple[str, ...]) -> Column:
@@ -61,10 +65,19 @@ def information_loss(src: Column, tgt: Column) -> Column:
     return F.coalesce((F.length(src) > 0) & (drop >= 0.5) & (jaccard <= 0.4), F.lit(False))
 
 
-def unbalanced(text: Column, pairs: tuple[tuple[str, str], ...] = (("(", ")"), ("[", "]"), ("{", "}"), ("«", "»"), ("“", "”"))) -> Column:
-    """Brackets and quotes without their other half: |opened - closed| over all kinds."""
-    count = lambda ch: F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
-    return reduce(lambda a, b: a + b, [F.abs(count(o) - count(c)) for o, c in pairs])
+def unbalanced(text: Column) -> Column:
+    """Brackets and quotes left open, and those that close nothing, read with a stack.
+
+    The stack is a string; a sign that closes nothing is a # in front of it.
+    """
+    signs = F.regexp_extract_all(text, F.lit("[" + re.escape(OPENING + CLOSING + BOTH) + "]"), F.lit(0))
+    pop = lambda s: F.substring(s, F.lit(1), F.length(s) - 1)
+    step = lambda s, c: (
+        F.when(F.instr(F.lit(OPENING), c) > 0, F.concat(s, c))
+        .when(F.instr(F.lit(BOTH), c) > 0, F.when(F.right(s, F.lit(1)) == c, pop(s)).otherwise(F.concat(s, c)))
+        .otherwise(F.when(F.right(s, F.lit(1)) == F.translate(c, CLOSING, OPENING), pop(s)).otherwise(F.concat(F.lit("#"), s)))
+    )
+    return F.length(F.aggregate(signs, F.lit(""), step))
 
 
 def negation_flip(a: Column, b: Column, lang: str = "en") -> Column:

@@ -38,7 +38,7 @@ def f4_should_keep(spark, d):
     return P.kept_pairs(g).select("row_id")
 
 
-@query("f5_sentence_pairs", r"WITH s AS (SELECT row_id, list_filter(list_transform(string_split(regexp_replace(src, '([.!?])\s+([A-ZА-ЯІЇЄҐ])', '\1' || chr(9246) || '\2', 'g'), chr(9246)), lambda x: trim(x)), lambda x: x <> '') AS a, list_filter(list_transform(string_split(regexp_replace(tgt, '([.!?])\s+([A-ZА-ЯІЇЄҐ])', '\1' || chr(9246) || '\2', 'g'), chr(9246)), lambda x: trim(x)), lambda x: x <> '') AS b FROM gold_annotations WHERE src IS NOT NULL AND tgt IS NOT NULL) SELECT row_id, len(a) AS sentences FROM s WHERE len(a) = len(b) AND len(a) > 1")
+@query("f5_sentence_pairs", r"WITH s AS (SELECT row_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(src, '([.!?])([A-ZА-ЯІЇЄҐ][a-zа-яіїєґ])', '\1 \2', 'g'), '([.!?])([0-9])', '\1 \2', 'g'), '([a-zа-яіїєґ])([A-ZА-ЯІЇЄҐ])', '\1. \2', 'g'), '([.!?])\s+([A-ZА-ЯІЇЄҐ])', '\1' || chr(9246) || '\2', 'g'), chr(9246)), lambda x: trim(x)), lambda x: x <> '') AS a, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(tgt, '([.!?])([A-ZА-ЯІЇЄҐ][a-zа-яіїєґ])', '\1 \2', 'g'), '([.!?])([0-9])', '\1 \2', 'g'), '([a-zа-яіїєґ])([A-ZА-ЯІЇЄҐ])', '\1. \2', 'g'), '([.!?])\s+([A-ZА-ЯІЇЄҐ])', '\1' || chr(9246) || '\2', 'g'), chr(9246)), lambda x: trim(x)), lambda x: x <> '') AS b FROM gold_annotations WHERE src IS NOT NULL AND tgt IS NOT NULL) SELECT row_id, len(a) AS sentences FROM s WHERE len(a) = len(b) AND len(a) > 1")
 def f5_sentence_pairs(spark, d):
     """Rows whose sides have as many sentences, more than one."""
     g = _gold(spark, d, "src", "tgt").select("row_id", X.split_sentences(F.col("src")).alias("a"), X.split_sentences(F.col("tgt")).alias("b"))

@@ -14,7 +14,9 @@ from inkwell.plans.registry import query
 from inkwell.sources.tables import table
 
 NORM = "CASE WHEN upper(trim({c})) IN ('TP','FP1','FP2','FP3','TN','FN') THEN upper(trim({c})) ELSE 'Error' END"
-PREDS = f"preds AS (SELECT row_id, model, writing_type, {NORM.format(c='gold_specialized')} AS gold, {NORM.format(c='tp_fp_label')} AS pred FROM ensemble WHERE gold_specialized IS NOT NULL)"
+#: A judge's label as a class: failures stay, weak and strong TP are told apart, anything else unknown is FP2.
+FOUR = "CASE WHEN tp_fp_label IS NULL OR lower(trim(tp_fp_label)) IN ('', 'nan', 'error') THEN 'Error' WHEN upper(trim(tp_fp_label)) = 'TP-S' THEN 'TP' WHEN upper(trim(tp_fp_label)) = 'TP-W' THEN 'FP3' WHEN upper(trim(tp_fp_label)) IN ('TP','FP1','FP2','FP3','TN','FN') THEN upper(trim(tp_fp_label)) ELSE 'FP2' END"
+PREDS = f"preds AS (SELECT row_id, model, writing_type, {NORM.format(c='gold_specialized')} AS gold, {FOUR} AS pred FROM ensemble WHERE gold_specialized IS NOT NULL)"
 GOOD = "good AS (SELECT * FROM preds WHERE pred <> 'Error' AND gold <> 'Error')"
 METRICS = """tot AS (SELECT count(*) AS n FROM {src}), labs AS (SELECT {g} AS label FROM {src} UNION SELECT {p} FROM {src}),
 m AS (SELECT label, (SELECT count(*) FROM {src} WHERE {g}=label AND {p}=label) AS tp, (SELECT count(*) FROM {src} WHERE {g}<>label AND {p}=label) AS fp, (SELECT count(*) FROM {src} WHERE {g}=label AND {p}<>label) AS fn FROM labs),
@@ -24,7 +26,7 @@ met AS (SELECT label, tp, fp, fn, tn, support, round(p,6) AS precision, round(q,
 
 def _preds(spark, d):
     e = table(spark, d, "ensemble", "row_id", "model", "writing_type", "gold_specialized", "tp_fp_label", "total_tokens", "total_cost_usd").where("gold_specialized is not null")
-    return e.withColumns({"gold": L.normalized(F.col("gold_specialized")), "pred": L.normalized(F.col("tp_fp_label"))})
+    return e.withColumns({"gold": L.normalized(F.col("gold_specialized")), "pred": L.judged_class(F.col("tp_fp_label"))})
 
 
 def _good(spark, d):

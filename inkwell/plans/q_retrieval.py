@@ -39,10 +39,10 @@ def r3_token_overlap(spark, d):
 def r5_field_weighted_rules(spark, d):
     """Rules scored by name (3) and key phrases (2) found in the text; the rule table has a checked size."""
     rules = table(spark, d, "subject_areas")
-    small = F.broadcast(rules) if rules.limit(10_001).count() <= 10_000 else rules
+    few = rules.limit(10_001).count() <= 10_000
     q = table(spark, d, "gold_annotations", "row_id", "src").where("src is not null").select("row_id", F.lower("src").alias("s"))
-    r = small.select("subject", F.explode(F.concat(F.array(F.struct(F.lower("subject").alias("k"), F.lit(3).alias("p"))), F.transform(F.split(F.lower("description"), ", "), lambda k: F.struct(k.alias("k"), F.lit(2).alias("p"))))).alias("x"))
-    hits = q.join(F.broadcast(r), F.contains("s", F.col("x.k")))
+    r = rules.select("subject", F.explode(F.concat(F.array(F.struct(F.lower("subject").alias("k"), F.lit(3).alias("p"))), F.transform(F.split(F.lower("description"), ", "), lambda k: F.struct(k.alias("k"), F.lit(2).alias("p"))))).alias("x"))
+    hits = q.join(F.broadcast(r) if few else r, F.contains("s", F.col("x.k")))
     return hits.groupBy("row_id", "subject").agg(F.sum("x.p").alias("score"))
 
 

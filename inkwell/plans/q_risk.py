@@ -14,18 +14,20 @@ def _gold(spark, d):
     return table(spark, d, "gold_annotations", "row_id", "src", "tgt", "aligned", "label")
 
 
-_SPANS = r"""e AS (SELECT row_id, label, src, tgt, CASE WHEN len(regexp_extract_all(coalesce(aligned,''), '\{([^{}]*?)=>([^{}]*?)\}', 1)) = 0 AND src <> tgt THEN [{'o': coalesce(src,''), 'n': coalesce(tgt,'')}] ELSE list_transform(list_zip(regexp_extract_all(coalesce(aligned,''), '\{([^{}]*?)=>([^{}]*?)\}', 1), regexp_extract_all(coalesce(aligned,''), '\{([^{}]*?)=>([^{}]*?)\}', 2)), lambda p: {'o': trim(p[1],' '), 'n': trim(p[2],' ')}) END AS s FROM gold_annotations)"""
+_SPANS = r"""e AS (SELECT row_id, label, src, tgt, CASE WHEN len(regexp_extract_all(coalesce(aligned,''), '\{([^{}]*?)=>([^{}]*?)\}', 1)) = 0 AND src <> '' AND tgt <> '' AND src <> tgt THEN [{'o': coalesce(src,''), 'n': coalesce(tgt,'')}] ELSE list_transform(list_zip(regexp_extract_all(coalesce(aligned,''), '\{([^{}]*?)=>([^{}]*?)\}', 1), regexp_extract_all(coalesce(aligned,''), '\{([^{}]*?)=>([^{}]*?)\}', 2)), lambda p: {'o': trim(p[1],' '), 'n': trim(p[2],' ')}) END AS s FROM gold_annotations)"""
 _W = r"list_filter(regexp_split_to_array(x.{c}, '[ \t\n\r\f\x{{0B}}]+'), lambda w: w <> '')"
-_FLAGS = rf"""SELECT row_id, label, src, tgt, list_filter([
- CASE WHEN len(list_filter(s, lambda x: NOT regexp_matches(x.o || x.n, '[\p{{L}}\p{{N}}]'))) > 0 THEN 'punctuation_only' END,
- CASE WHEN len(list_filter(s, lambda x: regexp_extract_all(x.o, '[0-9]+') <> regexp_extract_all(x.n, '[0-9]+'))) > 0 THEN 'number_change' END,
- CASE WHEN len(list_filter(s, lambda x: list_filter({_W.format(c='o')}, lambda w: regexp_matches(w, '^[A-ZА-ЯІЇЄҐÄÖÜÁÉÍÓÚÑ]')) <> list_filter({_W.format(c='n')}, lambda w: regexp_matches(w, '^[A-ZА-ЯІЇЄҐÄÖÜÁÉÍÓÚÑ]')))) > 0 THEN 'proper_noun_change' END,
- CASE WHEN len(list_filter(s, lambda x: regexp_matches(x.o || x.n, 'https?://|www\.|@|[#{{}}()\[\]<>]'))) > 0 THEN 'structured_token_change' END,
- CASE WHEN coalesce(list_sum(list_transform(s, lambda x: greatest(len({_W.format(c='o')}), len({_W.format(c='n')})))),0) >= 6 THEN 'long_rewrite_risk' END,
- CASE WHEN label IN ('FP1','FP2','Error') THEN 'low_trust_label' END], lambda f: f IS NOT NULL) AS flags FROM e"""
-
-
-@query("k1_escalation_flags", f"WITH {_SPANS}, f AS ({_FLAGS}) SELECT row_id, array_to_string(flags, ',') AS flags FROM f")
+_FLAGS = rf"""SELECT row_id, label, src, tgt, list_filter(list_concat(flatten(list_transform(s, lambda x: [
+ CASE WHEN NOT regexp_matches(x.o || x.n, '[\p{{L}}\p{{N}}]') THEN 'punctuation_only' END,
+ CASE WHEN regexp_extract_all(x.o, '[0-9]+') <> regexp_extract_all(x.n, '[0-9]+') THEN 'number_change' END,
+ CASE WHEN list_filter({_W.format(c='o')}, lambda w: regexp_matches(w, '^\p{{Lu}}')) <> list_filter({_W.format(c='n')}, lambda w: regexp_matches(w, '^\p{{Lu}}')) THEN 'proper_noun_change' END,
+ CASE WHEN regexp_matches(x.o || x.n, 'https?://|www\.|@|[#{{}}()\[\]<>]') THEN 'structured_token_change' END])),
+ [CASE WHEN coalesce(list_sum(list_transform(s, lambda x: greatest(len({_W.format(c='o')}), len({_W.format(c='n')})))),0) >= 6 THEN 'long_rewrite_risk' END,
+ CASE WHEN label IN ('FP1','FP2','Error') THEN 'low_trust_label' END]), lambda f: f IS NOT NULL) AS flags FROM e"""
+#: The flags without repetition, in the order they first occur.
+_ORDERED = "list_filter(flags, lambda f, i: list_position(flags, f) = i)"
+
+
+@query("k1_escalation_flags", f"WITH {_SPANS}, f AS ({_FLAGS}) SELECT row_id, array_to_string({_ORDERED}, ',') AS flags FROM f")
 def k1_escalation_flags(spark, d):
     g = _gold(spark, d)
     return g.select("row_id", F.array_join(R.escalation_flags(F.col("src"), F.col("tgt"), F.col("aligned"), F.col("label")), ",").alias("flags"))
@@ -51,20 +53,35 @@ def k3_information_loss(spark, d):
     return _gold(spark, d).where(R.information_loss(F.col("src"), F.col("tgt"))).select("row_id")
 
 
-_BAL = " + ".join(f"abs((length({{c}}) - length(replace({{c}}, '{o}', ''))) - (length({{c}}) - length(replace({{c}}, '{c}', ''))))" for o, c in (("(", ")"), ("[", "]"), ("{{", "}}"), ("«", "»"), ("“", "”")))
+_STACK = """length(list_reduce(regexp_extract_all({c}, '[«“‘(\\[{{»”’)\\]}}"'']'), lambda s, c:
+ CASE WHEN contains('«“‘([{{', c) THEN s || c
+  WHEN c IN ('"', '''') THEN CASE WHEN right(s, 1) = c THEN left(s, length(s) - 1) ELSE s || c END
+  WHEN right(s, 1) = translate(c, '»”’)]}}', '«“‘([{{') THEN left(s, length(s) - 1) ELSE '#' || s END, ''))"""
 
 
-@query("k4_balance_regressions", f"SELECT row_id FROM gold_annotations WHERE ({_BAL.format(c='tgt')}) > ({_BAL.format(c='src')})")
+@query("k4_balance_regressions", f"SELECT row_id, {_STACK.format(c='src')} AS of_src, {_STACK.format(c='tgt')} AS of_tgt FROM gold_annotations WHERE src IS NOT NULL AND tgt IS NOT NULL AND {_STACK.format(c='tgt')} > {_STACK.format(c='src')}")
 def k4_balance_regressions(spark, d):
-    return _gold(spark, d).where(R.unbalanced(F.col("tgt")) > R.unbalanced(F.col("src"))).select("row_id")
+    """Pairs whose target leaves more brackets and quotes unbalanced."""
+    g = _gold(spark, d).where("src is not null and tgt is not null").select("row_id", R.unbalanced(F.col("src")).cast("bigint").alias("of_src"), R.unbalanced(F.col("tgt")).cast("bigint").alias("of_tgt"))
+    return g.where("of_tgt > of_src")
+
+
+@query("k4_balances", f"SELECT row_id, {_STACK.format(c='aligned')} AS open_signs FROM gold_annotations WHERE aligned IS NOT NULL")
+def k4_balances(spark, d):
+    return _gold(spark, d).where("aligned is not null").select("row_id", R.unbalanced(F.col("aligned")).cast("bigint").alias("open_signs"))
 
 
-_NEG = "['not','no','never','none','nobody','nothing','without','cannot']"
+def _flips(lang):
+    marks = "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in R.NEGATION_MARKERS[lang]) + "]"
+    has = lambda c: f"list_has_any(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}\\p{{M}}_'']+'), {marks})"
+    return f"SELECT row_id, '{lang}' AS lang FROM gold_annotations WHERE {has('src')} <> {has('tgt')} AND regexp_matches(src, '\\p{{L}}') AND regexp_matches(tgt, '\\p{{L}}')"
 
 
-@query("k7_negation_flips", rf"SELECT row_id FROM gold_annotations WHERE list_has_any(regexp_extract_all(lower(src), '[\p{{L}}\p{{N}}\p{{M}}_'']+'), {_NEG}) <> list_has_any(regexp_extract_all(lower(tgt), '[\p{{L}}\p{{N}}\p{{M}}_'']+'), {_NEG}) AND regexp_matches(src, '\p{{L}}') AND regexp_matches(tgt, '\p{{L}}')")
+@query("k7_negation_flips", _flips("en") + " UNION ALL " + _flips("es"))
 def k7_negation_flips(spark, d):
-    return _gold(spark, d).where(R.negation_flip(F.col("src"), F.col("tgt"))).select("row_id")
+    """Pairs whose sides differ in having a negation marker, by the markers of each language; one pass."""
+    langs = F.array_compact(F.array(*[F.when(R.negation_flip(F.col("src"), F.col("tgt"), l), F.lit(l)) for l in R.NEGATION_MARKERS]))
+    return _gold(spark, d).select("row_id", F.explode(langs).alias("lang"))
 
 
 def _listed(c, ws):

@@ -30,9 +30,14 @@ def s1_punctuation_spacing(spark, d):
     return _gold(spark, d, "src").select("row_id", _md5(X.fix_punctuation_spacing(F.col("src"))).alias("fixed"))
 
 
-@query("s2_sentences", f"SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+([{_UP}])', '\\1' || chr(9246) || '\\2', 'g'), chr(9246)), lambda x: trim(x, ' ') <> '')) AS sentences FROM documents WHERE text IS NOT NULL")
+_FIXED = f"trim(regexp_replace(regexp_replace(regexp_replace(text, '([.!?])([{_UP}][{_LO}])', '\\1 \\2', 'g'), '([.!?])([0-9])', '\\1 \\2', 'g'), '([{_LO}])([{_UP}])', '\\1. \\2', 'g'), ' ')"
+
+
+@query("s2_sentences", f"SELECT doc_id, n, md5(s) AS sentence FROM (SELECT doc_id, unnest(range(1, len(ss) + 1)) AS n, unnest(ss) AS s FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({_FIXED}, '([.!?])\\s+([{_UP}])', '\\1' || chr(9246) || '\\2', 'g'), chr(9246)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ss FROM documents WHERE text IS NOT NULL))")
 def s2_sentences(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.size(X.split_sentences(F.col("text"))).alias("sentences"))
+    """The sentences of every document, by their digests."""
+    s = table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("n", "s"))
+    return s.select("doc_id", (F.col("n") + 1).cast("bigint").alias("n"), _md5(F.col("s")).alias("sentence"))
 
 
 @query("s3_tokens", r"SELECT row_id, len(regexp_extract_all(src, '[ \t\n.,;:!?()]|[^ \t\n.,;:!?()]+')) AS tokens, array_to_string(regexp_extract_all(src, '[ \t\n.,;:!?()]|[^ \t\n.,;:!?()]+'), '') = src AS whole FROM gold_annotations WHERE src IS NOT NULL")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import labels as L
 from inkwell.operators import votes as V
+from inkwell.operators.lineage import numbered
 from inkwell.plans.registry import query
 from inkwell.sources.tables import table
 
@@ -49,14 +50,11 @@ def a1_unit_groups(spark, d):
     return a.groupBy(F.trim("_unit_id").alias("unit_id")).agg(F.count(F.lit(1)).alias("n_votes"), F.countDistinct("_worker_id").alias("n_workers"), first.alias("first_label"))
 
 
-@query("a2_unit_arrival", "SELECT unit_id, first_vote, count(*) OVER (PARTITION BY day ORDER BY first_vote) AS place_in_day FROM (SELECT trim(_unit_id) AS unit_id, min(vote_id) AS first_vote, CAST(min(created_at) AS DATE) AS day FROM annotations WHERE trim(_unit_id) <> '' GROUP BY 1)")
+@query("a2_unit_arrival", "SELECT unit_id, first_vote, row_number() OVER (ORDER BY first_vote) - 1 AS idx FROM (SELECT trim(_unit_id) AS unit_id, min(vote_id) AS first_vote FROM annotations WHERE trim(_unit_id) <> '' GROUP BY 1)")
 def a2_unit_arrival(spark, d):
-    """Arrival order inside each day: a global running number would be one task's work."""
-    from pyspark.sql import Window
-
-    a = table(spark, d, "annotations", "_unit_id", "vote_id", "created_at").where("trim(_unit_id) <> ''")
-    by = a.groupBy(F.trim("_unit_id").alias("unit_id")).agg(F.min("vote_id").alias("first_vote"), F.to_date(F.min("created_at")).alias("day"))
-    return by.select("unit_id", "first_vote", F.row_number().over(Window.partitionBy("day").orderBy("first_vote")).cast("bigint").alias("place_in_day"))
+    """Units numbered in the order of their first vote, by ranges with offsets."""
+    a = table(spark, d, "annotations", "_unit_id", "vote_id").where("trim(_unit_id) <> ''")
+    return numbered(a.groupBy(F.trim("_unit_id").alias("unit_id")).agg(F.min("vote_id").alias("first_vote")), "idx", "first_vote")
 
 
 @query("a3_missing_error", f"WITH {MISSING} SELECT unit_id, strict, blank_false FROM missing")

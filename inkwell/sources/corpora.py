@@ -79,14 +79,20 @@ def read_parallel_files(spark: SparkSession, src_glob: str, tgt_glob: str, id_pa
     return both.where(X.n_words(F.col("src")) >= least_words).select(F.concat_ws("-", "file", "line").alias("id"), "src", "tgt")
 
 
-def read_essay_blocks(spark: SparkSession, src_path: str, tgt_path: str) -> DataFrame:
-    """Markdown blocks ``### essay_id = X``, paired by position in the file; equal pairs are dropped."""
+def read_essay_blocks(spark: SparkSession, src_path: str, tgt_path: str, side_name: str = r"(?i)orig|ref\d*") -> DataFrame:
+    """Markdown blocks ``### essay_id = X``, paired by file and by position in it; equal pairs are dropped.
+
+    Files belong together whose names are equal without what matches ``side_name``; a
+    side of one file needs no such name.
+    """
 
     def side(path: str, name: str) -> DataFrame:
-        t = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "### essay_id = "), lambda b: F.trim(b) != "")).alias("place", "b"))
-        return t.select("place", F.trim(F.split_part("b", F.lit("\n"), F.lit(1))).alias(f"{name}_id"), F.regexp_replace(F.regexp_replace("b", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias(name))
+        files = spark.read.text(path, wholetext=True).select("value", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), side_name, "").alias("file"))
+        several = files.select("file").distinct().limit(2).count() > 1
+        t = files.select(F.col("file") if several else F.lit("").alias("file"), F.posexplode(F.filter(F.split("value", "### essay_id = "), lambda b: F.trim(b) != "")).alias("place", "b"))
+        return t.select("file", "place", F.trim(F.split_part("b", F.lit("\n"), F.lit(1))).alias(f"{name}_id"), F.regexp_replace(F.regexp_replace("b", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias(name))
 
-    x = side(src_path, "src").join(side(tgt_path, "tgt"), "place").where("src <> tgt")
+    x = side(src_path, "src").join(side(tgt_path, "tgt"), ["file", "place"]).where("src <> tgt")
     return x.select(F.when(F.col("src_id") == F.col("tgt_id"), F.col("src_id")).otherwise(F.concat_ws("|", "src_id", "tgt_id")).alias("id"), "src", "tgt")
 
 

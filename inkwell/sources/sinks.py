@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.operators.lineage import cut
+
 
 def instruction_rows(df: DataFrame, instruction: str) -> DataFrame:
     """instruction, input, output, aligned, dataset, id; aligned falls back to tgt, dataset to 'unknown'."""
@@ -29,9 +31,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_parallel(df: DataFrame, path: str, key: str = "id") -> None:
-    """Line i of part n of ``path/src`` belongs to line i of part n of ``path/tgt``: one range-partitioned order for both."""
+    """Line i of part n of ``path/src`` belongs to line i of part n of ``path/tgt``.
+
+    The rows are ordered once and stored; both sides are written from the stored parts.
+    """
     flat = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\r\n]+", " ")
-    ordered = df.select(key, flat("src").alias("src"), flat("tgt").alias("tgt")).sort(key, "src", "tgt")
+    ordered = cut(df.select(key, flat("src").alias("src"), flat("tgt").alias("tgt")).sort(key, "src", "tgt"))
     for side in ("src", "tgt"):
         ordered.select(F.col(side).alias("value")).write.mode("overwrite").text(f"{path}/{side}")
 
