@@ -1,24 +1,28 @@
 """Corpus encoding with a public byte-level BPE vocabulary, as a token automaton.
 
-The automaton recognises exactly the token sequences that the merge list produces.
-Its states are tokens (the last one read; a start state before the first) and an arc
-``u -> v`` exists when ``v`` may follow ``u``.  It is built by adding one *merge
-gadget* after the other, in rank order.  The gadget of the merge ``(a, b) -> c``
+*Arcs.*  A token may follow another when the merges leave the two side by side.  The
+arcs are built by adding one *merge gadget* after the other, in rank order.  The gadget
+of the merge ``(a, b) -> c``
 
 * takes the arc ``a -> b`` away, since that pair is always merged from now on;
 * gives the new token ``c`` the incoming arcs ``a`` has at that moment, and
-* gives the state ``c`` the outgoing arcs ``b`` has at that moment.
-
-A gadget therefore defines the arcs of its token from those of two older tokens, and
-the table of arcs is filled row by row when a word first asks for it, instead of
-writing out all 50 000 x 50 000 cells.  Every prefix of a word ends in exactly one
-state, so a position that a longer arc failed from needs no second visit; the labels of the
-arcs on the accepted path are the ids.
+* gives the token ``c`` the outgoing arcs ``b`` has at that moment.
+
+A gadget defines the arcs of its token from those of two older tokens, so an arc is
+worked out when it is first asked for and kept.
+
+*Table.*  The automaton reads bytes.  After a prefix of a word exactly one token can end
+there, so a state holds that token and every token begun and not finished: how far it is
+spelled, and which token stands before it.  Reading a byte spells all of them on and
+drops those that no token goes on from; the one that is whole and has an arc from the
+token before it is the token that ends here.  The table (state, byte) -> state is
+written cell by cell when a word first needs it, instead of all at once, and words are
+then encoded by looking up one cell a byte.  The labels of the arcs on the way back from
+the last state are the ids.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,6 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words remembered by one Python worker; the memory is emptied when full.
 WORDS_KEPT = 400_000
+#: States of one worker's table, which is begun anew when it is full.
+STATES_KEPT = 1_000_000
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -74,22 +80,25 @@ class Words(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        if len(self.owner.arcs) >= 4 * WORDS_KEPT:
-            self.owner.arcs.clear()
-        ids = self[word] = self.owner._read(word.encode("utf-8"))
+        ids = self[word] = self.owner.read(word.encode("utf-8"))
         return ids
 
 
+State = tuple[tuple[int, int], ...]  # (place in the spelling tree, token before) of every token begun
+START = -1
+
+
 @dataclass
 class TokenAutomaton:
-    """Deterministic automaton over token arcs; see the module's text."""
+    """Deterministic automaton over bytes that emits token arcs; see the module's text."""
 
     vocab: dict[bytes, int]
     merges: list[tuple[bytes, bytes]]
     rank: dict[tuple[int, int], int] = field(init=False)
     parts: dict[int, tuple[int, int, int]] = field(init=False)
     arcs: dict[tuple[int, int, int], bool] = field(init=False, default_factory=dict)
-    reach: dict[bytes, int] = field(init=False)
+    spelled: dict[int, int] = field(init=False, default_factory=dict)
+    whole: list[int] = field(init=False)
     words: Words = field(init=False)
 
     def __post_init__(self) -> None:
@@ -98,10 +107,26 @@ class TokenAutomaton:
             c = self.vocab[a + b]
             self.rank[self.vocab[a], self.vocab[b]] = i
             self.parts.setdefault(c, (i, self.vocab[a], self.vocab[b]))
-        self.reach = {}  # by its first two bytes, the length of the longest token
-        for token in self.vocab:
-            self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 1))
+        self.size = {i: len(t) for t, i in self.vocab.items()}
+        self.whole = [-1]  # by place in the spelling tree, the token that is whole there
+        for token, i in self.vocab.items():
+            if len(token) == 1 or i in self.parts:
+                place = 0
+                for byte in token:
+                    nxt = self.spelled.get(place << 8 | byte)
+                    if nxt is None:
+                        nxt = self.spelled[place << 8 | byte] = len(self.whole)
+                        self.whole.append(-1)
+                    place = nxt
+                self.whole[place] = i
         self.words = Words(self)
+        self._empty_table()
+
+    def _empty_table(self) -> None:
+        self.table: dict[int, int] = {}
+        self.states: list[State] = [((0, START),)]
+        self.number: dict[State, int] = {self.states[0]: 0}
+        self.ends: list[int] = [START]
 
     def follows(self, u: int, v: int, before: int) -> bool:
         """Whether the arc u -> v exists after the gadgets of all ranks under ``before``."""
@@ -129,44 +154,40 @@ class TokenAutomaton:
         self.arcs[key] = ok
         return ok
 
-    def _read(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one word: arcs are tried longest first; a position is left for good once."""
-        whole = self.vocab.get(word)
-        n, top, vocab = len(word), len(self.merges) + 1, self.vocab
-        if whole is not None and (n == 1 or whole in self.parts):
-            return (whole,)
-        reach, arcs, follows = self.reach, self.arcs, self.follows
-        dead = set()
-        path: list[int] = []
-        ends: list[int] = [0]
-        lengths = [min(n, reach.get(word[:2], 1))]
-        while ends[-1] < n:
-            at, length = ends[-1], lengths[-1]
-            last = path[-1] if path else -1
-            found = False
-            while length:
-                t = vocab.get(word[at : at + length])
-                if t is not None and at + length not in dead:
-                    ok = last < 0
-                    if not ok:
-                        ok = arcs.get((last, t, top))
-                        if ok is None:
-                            ok = follows(last, t, top)
-                    if ok:
-                        found = True
-                        break
-                length -= 1
-            if found:
-                lengths[-1] = length - 1
-                path.append(t)
-                ends.append(at + length)
-                lengths.append(min(n - at - length, reach.get(word[at + length : at + length + 2], 1)))
-            else:
-                dead.add(at)
-                path.pop()
-                ends.pop()
-                lengths.pop()
-        return tuple(path)
+    def _write_cell(self, state: int, byte: int) -> int:
+        """The state after ``byte``, entered into the table."""
+        top, end, begun = len(self.merges) + 1, START, []
+        for place, before in self.states[state]:
+            at = self.spelled.get(place << 8 | byte)
+            if at is not None:
+                begun.append((at, before))
+                token = self.whole[at]
+                if end == START and token >= 0 and (before == START or self.follows(before, token, top)):
+                    end = token
+        new = (*begun, (0, end))
+        n = self.number.get(new)
+        if n is None:
+            n = self.number[new] = len(self.states)
+            self.states.append(new)
+            self.ends.append(end)
+        self.table[state << 8 | byte] = n
+        return n
+
+    def read(self, word: bytes) -> tuple[int, ...]:
+        """Ids of one word: one table cell a byte, then back along the arcs."""
+        if len(self.states) >= STATES_KEPT:
+            self._empty_table()
+            self.arcs.clear()
+        table, state, path = self.table, 0, []
+        for byte in word:
+            nxt = table.get(state << 8 | byte)
+            state = self._write_cell(state, byte) if nxt is None else nxt
+            path.append(self.ends[state])
+        ids, at = [], len(path)
+        while at:
+            ids.append(path[at - 1])
+            at -= self.size[path[at - 1]]
+        return tuple(reversed(ids))
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         return self.words[word]
@@ -188,12 +209,6 @@ def automaton(path: str) -> TokenAutomaton:
     return _BUILT[path]
 
 
-def tiktoken_ranks(path: str) -> dict[bytes, int]:
-    """Ranks of a vocabulary in the two-column form (base64 token, rank)."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-
-
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row a document: its id and ``ids``, the token ids without special tokens.
 
