@@ -34,10 +34,12 @@ PLACEHOLDERS = {"", "null", "none", "nan", "na", "n a", "nil", "error", "no resp
 #: Words of the prompt around the pair.
 FRAME = set("original corrected correction source target sentence sentences suggested suggestion classify the following is src tgt label text input output pair edit classification оригінал виправлено речення джерело satz korrigiert frase corregida oración".split())
 _FUNCTION_SETS = {l: frozenset(ws) for l, ws in FUNCTION_WORDS.items()}
+_FUNCTION_WORDS = {w: tuple(l for l, ws in _FUNCTION_SETS.items() if w in ws) for ws in _FUNCTION_SETS.values() for w in ws}
 _WORD = re.compile(r"\w+")
 _VERDICT = re.compile(r"\b(?:TP|TN|FN|FP[123]?)\b")
 _LABEL_WORDS = {"tp", "tn", "fn", "fp", "fp1", "fp2", "fp3"}
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“]*“|\"[^\"]*\"")
+_SPOKEN = re.compile(r"\b(?!\d+\b)\w+")
 _KEY = re.compile(r"\"\w+\"\s*:")
 
 
@@ -107,9 +109,16 @@ def copies(text: str, *prompt: str | None) -> bool:
     other and again, leaves a tenth of them at most; a label is no copy of anything.  A
     text of fewer than five words is one shingle, so it must stand there as a whole.
     """
+    raw, around = _words(text), " ".join(p.lower() for p in prompt if p)
+    strange, most = 0, (1 - SIMILARITY) * len(raw)
+    for x in raw:  # a word that is nowhere in the prompt's letters is none of its words
+        if x not in around and x not in FRAME:
+            strange += 1
+            if strange > most:
+                return False
     sides = [w for p in prompt if p and (w := _words(p))]
     known = {x for s in sides for x in s}
-    words = [x for x in _words(text) if x in known or x not in FRAME]
+    words = [x for x in raw if x in known or x not in FRAME]
     if not words or not sides:
         return False
     if sum(x in known for x in words) < SIMILARITY * len(words):
@@ -148,11 +157,11 @@ class WordUse:
     def language(self, text: str, asked: str) -> str | None:
         """A language that speaks for the text clearly more than the one asked for."""
         words = _speech(text)
-        total = [0.0] * len(self.langs)
-        for w in words:
-            for i, s in enumerate(self.score.get(w, ())):
-                total[i] += s
-        foreign = {l: sum(w in ws for w in words) for l, ws in _FUNCTION_SETS.items()}
+        foreign = dict.fromkeys(_FUNCTION_SETS, 0)
+        for w in filter(_FUNCTION_WORDS.__contains__, words):
+            for l in _FUNCTION_WORDS[w]:
+                foreign[l] += 1
+        total = [sum(x) for x in zip(*filter(None, map(self.score.get, words)), strict=True)] or [0.0] * len(self.langs)
         strange = max((l for l in foreign if l not in self.langs), key=foreign.get, default=None)
         if strange and asked in foreign and foreign[strange] >= 3 and all(foreign[strange] > 1.5 * foreign[l] for l in self.langs if l in foreign):
             return strange
@@ -165,7 +174,7 @@ class WordUse:
 def _speech(text: str) -> list[str]:
     """Words of the judge's own speech: without quotations, labels and names."""
     own = _VERDICT.sub(" ", _QUOTED.sub(" ", plain(text)))
-    return [w for w in _words(own) if not w.isdigit()]
+    return _SPOKEN.findall(own.lower())
 
 
 def word_use(answers: DataFrame, size: int = SAMPLE) -> WordUse:

@@ -17,10 +17,10 @@ square of its distinct texts.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
-from itertools import chain, groupby
+from itertools import accumulate, chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -158,11 +158,11 @@ class Asking(Copy):
         the shingles before them and no end of a sentence behind, so that earlier
         differences do not matter.
         """
-        least = SIMILARITY * len(self.inner)
-        if not self.inner or len(self.inner & full.shingles) < least:
-            return False
         at = full.letters.find(self.end)
-        if at < 0 or at + len(self.end) == len(full.letters):
+        if not self.inner or at < 0 or at + len(self.end) == len(full.letters):
+            return False
+        least = SIMILARITY * len(self.inner)
+        if len(self.inner & full.shingles) < least:
             return False
         if full.letters.startswith(self.letters):
             return True
@@ -183,11 +183,19 @@ def _early_in_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for (tbl, *_), cell in groupby((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r[:4]):
         members = list(cell)
         full = [(r[4], _copy(r[6])) for r in members if not r[5]]
+        # the letters of all texts of the cell in one string, so that an ending is looked for in all at once
+        joined = "\n".join(c.letters for _, c in full)
+        starts = [0, *accumulate(len(c.letters) + 1 for _, c in full)]
         for r in members:
             if r[5] and (tbl, r[4]) not in found:
                 asking = _asking(r[6])
-                if any(i != r[4] and asking.goes_on_in(c) for i, c in full):
-                    found.add((tbl, r[4]))
+                at = joined.find(asking.end) if asking.inner and asking.end else -1
+                while at >= 0:
+                    j = bisect_right(starts, at) - 1
+                    if full[j][0] != r[4] and asking.goes_on_in(full[j][1]):
+                        found.add((tbl, r[4]))
+                        break
+                    at = joined.find(asking.end, starts[j + 1])
         if len(found) > 10_000:
             yield pd.DataFrame(sorted(found), columns=["tbl", "text_id"])
             found.clear()
