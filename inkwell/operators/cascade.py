@@ -1,9 +1,9 @@
 """Judge cascades as stages of DataFrames.
 
 A judge is a function ``(src, tgt, number) -> Column`` that gives a label: a pandas UDF
-around a model, or the deterministic stub below.  Each stage filters the rows that are
-still open, so a dear judge only sees what the cheap ones left; a cascade has a fixed,
-small number of stages and no loop over rows.
+around a model, or the labels that judges have already given.  Each stage filters the
+rows that are still open, so a dear judge only sees what the cheap ones left; a cascade
+has a fixed, small number of stages and no loop over rows.
 """
 
 from __future__ import annotations
@@ -11,20 +11,27 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import labels as L
 
 Judge = Callable[[Column, Column, int], Column]
-#: Labels of the stub by the first hexadecimal digit of a digest.
-STUB = ("TP", "TP", "TP", "TP", "TP", "TP", "FP3", "FP3", "FP2", "FP2", "FP1", "FP1", "TN", "TN", "FN", "Error")
 
 
-def stub_judge(src: Column, tgt: Column, number: int) -> Column:
-    """A label from a digest of the pair and the judge's number: the same everywhere, costs nothing."""
-    digit = F.substring(F.md5(F.concat_ws("|", F.coalesce(src, F.lit("")), F.coalesce(tgt, F.lit("")), F.lit(str(number))).cast("binary")), F.lit(1), F.lit(1))
-    return F.get(F.array(*map(F.lit, STUB)), F.instr(F.lit("0123456789abcdef"), digit) - 1)
+def given_labels(votes: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """``key, given``: the first ``most`` labels of each unit in the order they came.
+
+    Spark limits each unit's rows before the shuffle, so a unit with many labels stays small.
+    """
+    first = votes.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_n") <= most)
+    by = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", "label"))).alias("_given"))
+    return by.select(key, F.transform("_given", lambda x: x["label"]).alias("given"))
+
+
+def given_judge(src: Column, tgt: Column, number: int) -> Column:
+    """The label that judge ``number`` has given the unit (column ``given``); Error where there is none."""
+    return F.coalesce(F.get("given", F.lit(number)), F.lit("Error"))
 
 
 def votes(judge: Judge, numbers: range) -> Column:

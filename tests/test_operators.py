@@ -114,10 +114,20 @@ def test_cosine_top_k_is_exact(spark):
     assert got == sorted(want, key=repr)
 
 
+#: Labels of the stub judge by the first hexadecimal digit of a digest.
+STUB = ("TP", "TP", "TP", "TP", "TP", "TP", "FP3", "FP3", "FP2", "FP2", "FP1", "FP1", "TN", "TN", "FN", "Error")
+
+
+def stub_judge(src, tgt, number):
+    """A label from a digest of the pair and the judge's number."""
+    digit = F.substring(F.md5(F.concat_ws("|", F.coalesce(src, F.lit("")), F.coalesce(tgt, F.lit("")), F.lit(str(number))).cast("binary")), F.lit(1), F.lit(1))
+    return F.get(F.array(*map(F.lit, STUB)), F.instr(F.lit("0123456789abcdef"), digit) - 1)
+
+
 def _stub(src, tgt, n):
     import hashlib
 
-    return cascade.STUB[int(hashlib.md5(f"{src or ''}|{tgt or ''}|{n}".encode()).hexdigest()[0], 16)]
+    return STUB[int(hashlib.md5(f"{src or ''}|{tgt or ''}|{n}".encode()).hexdigest()[0], 16)]
 
 
 def _consensus(ls):
@@ -149,8 +159,8 @@ def test_iterative_critic_and_tiers(spark):
             if f:
                 tiers[i] = (f, 3 * k + 3)
                 break
-    assert {r.row_id: (r.final, r.calls) for r in cascade.iterative_critic(df, cascade.stub_judge).collect()} == want
-    assert {r.row_id: (r.final, r.calls) for r in cascade.tiered_votes(df, cascade.stub_judge).collect()} == tiers
+    assert {r.row_id: (r.final, r.calls) for r in cascade.iterative_critic(df, stub_judge).collect()} == want
+    assert {r.row_id: (r.final, r.calls) for r in cascade.tiered_votes(df, stub_judge).collect()} == tiers
 
 
 def test_information_loss(spark):
