@@ -45,3 +45,8 @@ def sum_of(*names: str) -> Column:
     for n in names[1:]:
         out = out + F.col(n)
     return out
+
+
+def number_or_zero(column: str) -> Column:
+    """A count or cost as given; 0 for null."""
+    return F.coalesce(F.col(column), F.lit(0))
