@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from inkwell.operators.lineage import cut
 #: Weights of grams that are sent to every task; more of them are joined by a shuffle.
 IDF_ROWS = 500_000
 #: Query vectors sent out at once: bounds what is broadcast.
-BLOCK, TFIDF_BLOCK = 4096, 256
+BLOCK, TFIDF_BLOCK = 4096, 4096
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -23,47 +24,56 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+class _Best:
+    """The best rows of each query of a block, kept over a task's batches."""
+
+    def __init__(self, queries: int, keep: int) -> None:
+        self.keep = keep
+        self.ids = np.empty((queries, 0), object)
+        self.scores = np.empty((queries, 0))
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores`` of (queries, rows); ties go to the smaller id."""
+        order = np.argsort(ids, kind="stable")
+        all_ids = np.concatenate((self.ids, np.broadcast_to(ids[order].astype(object), scores.shape)), axis=1)
+        all_scores = np.concatenate((self.scores, scores[:, order]), axis=1)
+        if self.ids.shape[1]:  # kept rows may have larger ids than new ones
+            place = np.argsort(all_ids, axis=1, kind="stable")
+            all_ids, all_scores = (np.take_along_axis(x, place, axis=1) for x in (all_ids, all_scores))
+        top = np.argsort(-all_scores, axis=1, kind="stable")[:, : self.keep]
+        self.ids, self.scores = (np.take_along_axis(x, top, axis=1) for x in (all_ids, all_scores))
+
+    def rows(self, queries: list) -> pd.DataFrame:
+        line = np.repeat(np.arange(len(queries)), self.ids.shape[1])
+        part = pd.DataFrame({"query_id": [queries[i] for i in line], "neighbour_id": self.ids.ravel(), "score": self.scores.ravel().astype(float)})
+        return part[part["query_id"] != part["neighbour_id"]]
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """``query_id, neighbour_id, score, place``: the k most similar other rows of each query.
 
-    Queries go out in blocks of at most BLOCK; each task multiplies its rows with a block
-    and keeps k candidates a query, so what is shuffled is k rows a query and task.  Ties
-    go to the smaller id; null vectors are left out; a row is not its own neighbour.
+    Queries go out in blocks of at most BLOCK; a task multiplies its rows with one block
+    after the other in a single pass and keeps k candidates a query over all its batches,
+    so what is shuffled is k rows a query and task.  Ties go to the smaller id; null
+    vectors are left out; a row is not its own neighbour; ids are of any type.
     """
-    spark = vectors.sparkSession
+    sc = vectors.sparkSession.sparkContext
     clean = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    asked = queries.where(F.col(vec_col).isNotNull()).select(id_col, vec_col).toLocalIterator()
-    blocks: list[tuple[list, np.ndarray]] = []
-    ids: list = []
-    vecs: list = []
-    for r in asked:
-        ids.append(r[0])
-        vecs.append(r[1])
-        if len(ids) == BLOCK:
-            blocks.append((ids, _normal(np.asarray(vecs, np.float64))))
-            ids, vecs = [], []
-    if ids or not blocks:
-        blocks.append((ids, _normal(np.asarray(vecs, np.float64).reshape(len(ids), -1))))
-    out = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-
-        def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            q_ids, q = shared.value
-            for frame in frames:
-                if not len(frame) or not q_ids:
-                    continue
+    asked = ((r[0], r[1]) for r in queries.where(F.col(vec_col).isNotNull()).select(id_col, vec_col).toLocalIterator())
+    blocks = [sc.broadcast(([i for i, _ in b], _normal(np.asarray([v for _, v in b], np.float64)))) for b in iter(lambda: list(islice(asked, BLOCK)), [])]
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = [_Best(len(b.value[0]), k + 1) for b in blocks]
+        for frame in frames:
+            if len(frame):
                 v = _normal(np.stack(frame["vec"].to_numpy()).astype(np.float64))
-                own = frame["id"].to_numpy()
-                order = np.argsort(own, kind="stable")
-                own, score = own[order], np.round(q @ v[order].T, 6)
-                top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-                rows = np.repeat(np.arange(len(q_ids)), top.shape[1])
-                part = pd.DataFrame({"query_id": np.asarray(q_ids)[rows], "neighbour_id": own[top.ravel()], "score": score[rows, top.ravel()]})
-                yield part[part["query_id"] != part["neighbour_id"]]
-
-        found = clean.mapInPandas(best, "query_id bigint, neighbour_id bigint, score double")
-        out = found if out is None else out.unionByName(found)
+                for b, top in zip(blocks, kept, strict=True):
+                    top.add(frame["id"].to_numpy(), np.round(b.value[1] @ v.T, 6))
+        for b, top in zip(blocks, kept, strict=True):
+            yield top.rows(b.value[0])
+
+    id_type = clean.schema["id"].dataType.simpleString()
+    out = clean.mapInPandas(best, f"query_id {id_type}, neighbour_id {id_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")
     return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
@@ -90,14 +100,45 @@ def char_grams(df: DataFrame, id_col: str, text_col: str, low: int = 3, high: in
     return kept.mapInPandas(count, f"id {kept.schema['id'].dataType.simpleString()}, gram string, tf bigint")
 
 
+class _GramBlock:
+    """The unit vectors of some queries as postings by gram: only grams that a text shares cost a product."""
+
+    def __init__(self, ids: list, start: dict[str, int], ends: np.ndarray, query: np.ndarray, weight: np.ndarray) -> None:
+        self.ids, self.start, self.ends, self.query, self.weight = ids, start, ends, query, weight
+
+    @classmethod
+    def of(cls, vectors: list) -> _GramBlock:
+        number: dict[str, int] = {}
+        gram = np.array([number.setdefault(x, len(number)) for _, grams, _ in vectors for x in grams], np.int64)
+        query = np.repeat(np.arange(len(vectors)), [len(g) for _, g, _ in vectors])
+        weight = np.concatenate([np.asarray(w) / np.linalg.norm(w) for _, _, w in vectors])
+        order = np.argsort(gram, kind="stable")
+        ends = np.cumsum(np.bincount(gram, minlength=len(number)))
+        return cls([v[0] for v in vectors], number, ends, query[order].astype(np.int32), weight[order])
+
+    def products(self, texts, unit: list[np.ndarray]) -> np.ndarray:
+        """(queries, texts) of inner products."""
+        out = np.zeros((len(self.ids), len(unit)))
+        find = self.start.get
+        begins = np.concatenate(([0], self.ends[:-1]))
+        for j, (grams, w) in enumerate(zip(texts, unit, strict=True)):
+            at = np.array([find(x, -1) for x in grams])
+            on = np.flatnonzero(at >= 0)
+            g = at[on]
+            n = self.ends[g] - begins[g]
+            places = np.repeat(begins[g] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+            out[:, j] = np.bincount(self.query[places], self.weight[places] * np.repeat(w[on], n), len(self.ids))
+        return out
+
+
 def tfidf_top_k(texts: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """Smooth tf-idf over character grams, unit length, inner product, best k other rows of each query.
 
     Document frequencies come from one shuffle with partial counts; their weights are sent
     to every task while they are few, and joined by gram otherwise.  The queries, a
-    stated subset of the texts, then go out in blocks of at most TFIDF_BLOCK; a task
-    multiplies each of its texts with a block and keeps k candidates a query, so the grams
-    that nearly every text has cost a product and no joined rows.
+    stated subset of the texts, go out in blocks of at most TFIDF_BLOCK as postings by
+    gram; a task adds up the postings of each of its texts, one block after the other in
+    a single pass, and keeps k candidates a query over all its batches.
     """
     spark = texts.sparkSession
     # the texts are spread first: their grams are thirty times as much
@@ -110,50 +151,21 @@ def tfidf_top_k(texts: DataFrame, queries: DataFrame, id_col: str, text_col: str
     small = idf.limit(IDF_ROWS + 1).count() <= IDF_ROWS
     vectors = g.join(F.broadcast(idf) if small else idf, "gram").groupBy("id").agg(F.collect_list("gram").alias("grams"), F.collect_list(F.col("tf") * F.col("idf")).alias("w"))
     vectors = cut(vectors)
-    asked = vectors.join(queries.select(F.col(id_col).alias("id")), "id", "left_semi")
-    out = None
-    rows: list = []
-
-    def search(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast([(r.id, r.grams, r.w) for r in block])
-
-        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            vecs = shared.value
-            place: dict[str, int] = {}
-            for _, grams, _ in vecs:
-                for x in grams:
-                    place.setdefault(x, len(place))
-            q = np.zeros((len(place), len(vecs)))
-            for j, (_, grams, w) in enumerate(vecs):
-                q[[place[x] for x in grams], j] = np.asarray(w) / np.linalg.norm(w)
-            q_ids = np.array([v[0] for v in vecs])
-            find = place.get
-            for frame in frames:
-                ids, scores = [], []
-                for i, grams, w in zip(frame["id"], frame["grams"], frame["w"], strict=True):
-                    at = np.array([find(x, -1) for x in grams])
-                    on = at >= 0
-                    ids.append(i)
-                    scores.append((np.asarray(w)[on] / np.linalg.norm(w)) @ q[at[on]])
-                if not ids:
-                    continue
-                own = np.array(ids)
-                order = np.argsort(own, kind="stable")
-                s = np.round(np.stack(scores)[order].T, 4)
-                top = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
-                line = np.repeat(np.arange(len(q_ids)), top.shape[1])
-                part = pd.DataFrame({"query_id": q_ids[line], "neighbour_id": own[order][top.ravel()], "score": s[line, top.ravel()]})
-                yield part[(part["score"] > 0) & (part["query_id"] != part["neighbour_id"])]
-
-        return vectors.mapInPandas(best, "query_id bigint, neighbour_id bigint, score double")
-
-    for r in asked.toLocalIterator():
-        rows.append(r)
-        if len(rows) == TFIDF_BLOCK:
-            found = search(rows)
-            out, rows = found if out is None else out.unionByName(found), []
-    if rows or out is None:
-        found = search(rows) if rows else spark.createDataFrame([], "query_id bigint, neighbour_id bigint, score double")
-        out = found if out is None else out.unionByName(found)
+    rows = ((r.id, r.grams, r.w) for r in vectors.join(queries.select(F.col(id_col).alias("id")), "id", "left_semi").toLocalIterator())
+    blocks = [spark.sparkContext.broadcast(_GramBlock.of(b)) for b in iter(lambda: list(islice(rows, TFIDF_BLOCK)), [])]
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = [_Best(len(b.value.ids), k + 1) for b in blocks]
+        for frame in frames:
+            if len(frame):
+                unit = [np.asarray(w) / np.linalg.norm(w) for w in frame["w"]]
+                for b, top in zip(blocks, kept, strict=True):
+                    top.add(frame["id"].to_numpy(), np.round(b.value.products(frame["grams"], unit), 4))
+        for b, top in zip(blocks, kept, strict=True):
+            part = top.rows(b.value.ids)
+            yield part[part["score"] > 0]
+
+    id_type = vectors.schema["id"].dataType.simpleString()
+    out = vectors.mapInPandas(best, f"query_id {id_type}, neighbour_id {id_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")
     return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

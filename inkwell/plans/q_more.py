@@ -55,9 +55,9 @@ def d2_first_by_title(spark, d):
     return docs.groupBy(F.md5(F.col("title").cast("binary")).alias("title_id")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query("d3_token_sets", r"WITH t AS (SELECT row_id, list_distinct(regexp_extract_all(lower(src), '[a-z]+')) AS a, list_distinct(regexp_extract_all(lower(tgt), '[a-z]+')) AS b FROM gold_annotations WHERE src IS NOT NULL AND tgt IS NOT NULL) SELECT row_id, len(list_intersect(a,b)) AS common, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS only_src, len(list_distinct(list_concat(a,b))) AS either FROM t")
+@query("d3_token_sets", r"WITH t AS (SELECT row_id, list_distinct(regexp_extract_all(lower(src), '\p{L}+')) AS a, list_distinct(regexp_extract_all(lower(tgt), '\p{L}+')) AS b FROM gold_annotations WHERE src IS NOT NULL AND tgt IS NOT NULL) SELECT row_id, len(list_intersect(a,b)) AS common, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS only_src, len(list_distinct(list_concat(a,b))) AS either FROM t")
 def d3_token_sets(spark, d):
-    w = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
+    w = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("\\p{L}+"), F.lit(0)))
     g = table(spark, d, "gold_annotations", "row_id", "src", "tgt").where("src is not null and tgt is not null").select("row_id", w("src").alias("a"), w("tgt").alias("b"))
     return g.select("row_id", F.size(F.array_intersect("a", "b")).alias("common"), F.size(F.array_except("a", "b")).alias("only_src"), F.size(F.array_union("a", "b")).alias("either"))
 
@@ -101,11 +101,11 @@ def s16_span_alignments(spark, d):
     return x.select("row_id", F.when(same, F.size("s")).otherwise(-1).cast("bigint").alias("spans"))
 
 
-@query("r4_keyword_index", "WITH k AS (SELECT subject, trim(unnest(string_split(lower(description), ',')),' ') AS kw FROM subject_areas), w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS kw FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, subject, count(*) AS hits FROM w JOIN k USING (kw) GROUP BY 1, 2) SELECT doc_id, subject, hits, least(1.0::DOUBLE, hits/5) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, subject) AS rn FROM s) WHERE rn <= 3")
+@query("r4_keyword_index", "WITH k AS (SELECT subject, trim(unnest(string_split(lower(description), ',')),' ') AS kw FROM subject_areas), w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{L}+'))) AS kw FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, subject, count(*) AS hits FROM w JOIN k USING (kw) GROUP BY 1, 2) SELECT doc_id, subject, hits, least(1.0::DOUBLE, hits/5) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, subject) AS rn FROM s) WHERE rn <= 3")
 def r4_keyword_index(spark, d):
     """Inverted keyword index of the rules: equi-join on the word, top three a document."""
     k = table(spark, d, "subject_areas").select("subject", F.explode(F.split(F.lower("description"), ",")).alias("kw")).select("subject", F.trim("kw").alias("kw"))
-    w = table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("kw"))
+    w = table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0)))).alias("kw"))
     s = w.join(k, "kw").groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("hits"))
     top = s.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("hits"), "subject"))).where("rn <= 3")
     return top.select("doc_id", "subject", "hits", F.least(F.lit(1.0), F.col("hits") / 5).alias("confidence"))

@@ -122,10 +122,10 @@ def j7_votes_on_edits(spark, d):
     return hits.groupBy("unit_id", F.col("edit_no").cast("bigint").alias("edit_no"), "label").agg(F.count(F.lit(1)).alias("votes"))
 
 
-@query("j11_new_words", r"WITH s AS (SELECT row_id, unnest(list_distinct(regexp_extract_all(lower(src), '[a-z]+'))) AS w FROM gold_annotations), t AS (SELECT row_id, unnest(list_distinct(regexp_extract_all(lower(tgt), '[a-z]+'))) AS w FROM gold_annotations) SELECT row_id, count(*) AS new_words FROM t ANTI JOIN s USING (row_id, w) GROUP BY 1")
+@query("j11_new_words", r"WITH s AS (SELECT row_id, unnest(list_distinct(regexp_extract_all(lower(src), '\p{L}+'))) AS w FROM gold_annotations), t AS (SELECT row_id, unnest(list_distinct(regexp_extract_all(lower(tgt), '\p{L}+'))) AS w FROM gold_annotations) SELECT row_id, count(*) AS new_words FROM t ANTI JOIN s USING (row_id, w) GROUP BY 1")
 def j11_new_words(spark, d):
     """Words of the target that the source lacks: a set difference inside the row, no join."""
-    w = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
+    w = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("\\p{L}+"), F.lit(0)))
     none = F.array().cast("array<string>")
     new = F.array_except(F.coalesce(w("tgt"), none), F.coalesce(w("src"), none))
     return _gold(spark, d, "src", "tgt").select("row_id", F.size(new).cast("bigint").alias("new_words")).where("new_words > 0")

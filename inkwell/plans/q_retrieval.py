@@ -26,10 +26,10 @@ def k5_centroid_distance(spark, d):
     return e.join(m, "label").select("vec_id", F.round(1 - risk.cosine(F.col("embedding"), F.col("c")), 4).alias("distance"))
 
 
-@query("r3_token_overlap", r"WITH s AS (SELECT subject, list_distinct(regexp_extract_all(lower(description), '[a-z]{4,}')) AS w FROM subject_areas), t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, subject, len(list_intersect(t.w, s.w)) AS score FROM t, s WHERE len(list_intersect(t.w, s.w)) >= 2")
+@query("r3_token_overlap", r"WITH s AS (SELECT subject, list_distinct(regexp_extract_all(lower(description), '\p{L}{4,}')) AS w FROM subject_areas), t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '\p{L}{4,}')) AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, subject, len(list_intersect(t.w, s.w)) AS score FROM t, s WHERE len(list_intersect(t.w, s.w)) >= 2")
 def r3_token_overlap(spark, d):
     """Rules (subject descriptions) that share two and more words with a document."""
-    w = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0)))
+    w = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("\\p{L}{4,}"), F.lit(0)))
     rules = table(spark, d, "subject_areas").select("subject", F.explode(w("description")).alias("w"))
     docs = table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.explode(w("text")).alias("w"))
     return docs.join(rules, "w").groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("score")).where("score >= 2")
