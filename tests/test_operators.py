@@ -203,3 +203,17 @@ def test_tfidf_top_k_against_brute_force(spark):
             for i in sorted((i for i in s if s[i] > 0), key=lambda i: (-s[i], i))[:4]:
                 want[q, i] = s[i]
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_balance_reads_a_stack(spark):
+    texts = {"()": 0, ")(": 2, "([)]": 2, 'say "yes': 1, "it's 'fine'": 1, "«a» “b”": 0, "": 0, None: None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.n for r in df.select("t", risk.unbalanced(F.col("t")).alias("n")).collect()} == texts
+
+
+def test_numbers_run_over_all_parts(spark):
+    from inkwell.operators.lineage import numbered
+
+    df = spark.range(1000).select((F.col("id") * 37 % 1009).alias("v")).repartition(5)
+    got = sorted(map(tuple, numbered(df, "idx", "v").collect()))
+    assert [i for _, i in got] == list(range(1000))

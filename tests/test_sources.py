@@ -113,3 +113,26 @@ def test_sinks(spark, tmp_path):
     req = S.batch_requests(df.withColumnRenamed("id", "row_id"), "m", F.col("src")).collect()[0][0]
     assert json.loads(req)["custom_id"] == "row-1"
     assert S.filtered_projection(df.withColumn("a_label", F.lit("TP")).withColumn("b_label", F.lit("x")), ["a"]).columns == ["id", "src", "language", "dataset", "b_label", "a_label"]
+
+
+def test_parallel_lines_belong_together(spark, tmp_path):
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(60_000).select((F.col("id") * 7919 % 60_013).alias("id")).select("id", F.concat(F.lit("s"), "id").alias("src"), F.concat(F.lit("t"), "id").alias("tgt"))
+        S.write_parallel(df.repartition(8), str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    parts = [sorted((tmp_path / "out" / side).glob("part-*")) for side in ("src", "tgt")]
+    assert len(parts[0]) == len(parts[1]) > 1
+    for a, b in zip(*parts, strict=True):
+        x, y = a.read_text().split(), b.read_text().split()
+        assert [i[1:] for i in x] == [i[1:] for i in y]
+
+
+def test_essay_blocks_of_several_files(spark, tmp_path):
+    for name, word in (("en", "wrld"), ("de", "Wlt")):
+        write(tmp_path / f"in/{name}-orig-train.md", f"### essay_id = 1\nHello {word}\n")
+        write(tmp_path / f"in/{name}-ref1-train.md", f"### essay_id = 1\nHello {name}\n")
+    got = C.read_essay_blocks(spark, str(tmp_path / "in/*orig*"), str(tmp_path / "in/*ref1*"))
+    assert rows(got) == [("1", "Hello Wlt", "Hello de"), ("1", "Hello wrld", "Hello en")]
