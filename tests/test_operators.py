@@ -217,3 +217,27 @@ def test_numbers_run_over_all_parts(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1009).alias("v")).repartition(5)
     got = sorted(map(tuple, numbered(df, "idx", "v").collect()))
     assert [i for _, i in got] == list(range(1000))
+
+
+def test_tfidf_in_small_parts_and_blocks(spark, monkeypatch):
+    import math
+
+    for name, small in (("PART_CHARS", 40), ("TFIDF_BLOCK", 2), ("SCORED_CHARS", 20), ("CANDIDATES", 3)):
+        monkeypatch.setattr(retrieval, name, small)
+    texts = [(i, w) for i, w in enumerate(["the cat sat", "a cat sat on it", "Кіт сів", "кіт ліг", "dogs run far", "the dog ran", "it sat", "no", "on the mat"])]
+    texts += [(0, "cats run"), (None, "the cat"), (9, None), (10, "x" * 99), (11, "x" * 99)]
+    df = spark.createDataFrame(texts, "row_id long, src string")
+    got = {(r.query_id, r.neighbour_id): r.score for r in retrieval.tfidf_top_k(df, df.where("row_id <> 7"), "row_id", "src", 3).collect()}
+    grams: dict = {}
+    for i, t in texts:
+        if t is not None:
+            grams.setdefault(i, Counter()).update(t.lower()[j : j + n] for n in (3, 4, 5) for j in range(len(t) - n + 1))
+    n = sum(t is not None for _, t in texts)
+    idf = {g: math.log((1 + n) / (1 + c)) + 1 for g, c in Counter(g for c in grams.values() for g in c).items()}
+    vec = {i: {g: c * idf[g] for g, c in x.items()} for i, x in grams.items() if x and i is not None}
+    norm = {i: math.sqrt(sum(w * w for w in x.values())) for i, x in vec.items()}
+    want = {}
+    for q in vec:
+        s = {i: round(sum(w * vec[i].get(g, 0) for g, w in vec[q].items()) / norm[q] / norm[i], 4) for i in vec if i != q and vec[q].keys() & vec[i].keys()}
+        want |= {(q, i): s[i] for i in sorted(s, key=lambda i: (-s[i], i))[:3]}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in want)
