@@ -81,4 +81,4 @@ def a33_rolled_up_outputs(spark, d):
     model = F.coalesce(F.min_by("model", F.when(F.col("model") != "", F.col("row_id"))), F.lit("ensemble"))
     cost = F.sum(number_or_zero("total_cost_usd"))
     by = e.groupBy(F.trim("idx").alias("unit_id")).agg(F.count(F.lit(1)).alias("outputs"), *[F.sum(number_or_zero(c)).alias(c) for c in tokens], cost.alias("total_cost_usd"), model.alias("model"))
-    return by.where("total_cost_usd > 0 or input_tokens > 0").withColumn("total_cost_usd", F.round("total_cost_usd", 6))
+    return by.where("total_cost_usd > 0 or input_tokens > 0").withColumn("total_cost_usd", F.round(F.col("total_cost_usd") * 1e6) / 1e6)  # the float is scaled, then rounded: 0.0039215 is a little less than its digits

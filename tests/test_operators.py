@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -241,3 +242,17 @@ def test_tfidf_in_small_parts_and_blocks(spark, monkeypatch):
         s = {i: round(sum(w * vec[i].get(g, 0) for g, w in vec[q].items()) / norm[q] / norm[i], 4) for i in vec if i != q and vec[q].keys() & vec[i].keys()}
         want |= {(q, i): s[i] for i in sorted(s, key=lambda i: (-s[i], i))[:3]}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in want)
+
+
+def test_rolled_up_costs_round_as_sql_does(spark, tmp_path):
+    from inkwell.plans import catalog
+
+    costs = [0.0039215, 0.0019855, 0.0040205, 0.0000005, 0.25, None]
+    rows = [(i, f"u{i} ", "m", c, 1, 1, 1, 1) for i, c in enumerate(costs)] + [(9, "v", None, 0.0054582, 1, 1, 1, 1), (10, "v", "m", 0.0014883, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "row_id long, idx string, model string, total_cost_usd double, input_tokens long, output_tokens long, reasoning_tokens long, cached_tokens long")
+    df.write.parquet(f"{tmp_path}/ensemble.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view ensemble as select * from '{tmp_path}/ensemble.parquet/*.parquet'")
+    want = dict(con.execute(f"select unit_id, total_cost_usd from ({catalog.oracle_sql()['a33_rolled_up_outputs']})").fetchall())
+    got = {r.unit_id: r.total_cost_usd for r in catalog.queries()["a33_rolled_up_outputs"](spark, str(tmp_path)).collect()}
+    assert got == want
