@@ -54,6 +54,9 @@ _GAP = re.compile(r"([ \n\r\t]+)")
 #: start of a UTF-8 sequence for punctuation whose rest is gone.
 LOST = re.compile("(?:�|[\x80-\x84\x86-\x9f]|â€(?!\\w)|вЂ|Ã[\xa0-\xbf?]|ï¿½|пїЅ)+")
 
+#: What LOST begins with, apart from control characters.
+LOST_SIGNS, _CONTROLS = ("�", "â€", "вЂ", "Ã", "ï¿½", "пїЅ"), re.compile("[\x80-\x84\x86-\x9f]")
+
 
 @lru_cache(None)
 def _bytes_of(shown: str) -> dict[str, int]:
@@ -78,21 +81,21 @@ def _chars_of(really: str) -> list[str | None]:
     return out
 
 
+@lru_cache(None)
+def _pair(shown: str, really: str) -> dict[str, str]:
+    """Character of a one-byte encoding by the one shown for it."""
+    chars = _chars_of(really)
+    return {c: new for c, b in _bytes_of(shown).items() if (new := chars[b]) is not None}
+
+
 def reread(word: str, shown: str, really: str) -> str | None:
     """The word's bytes in ``shown`` read as ``really``; None where that is impossible."""
-    table = _bytes_of(shown)
     try:
-        raw = bytes([table[c] for c in word])
-    except KeyError:
+        if really == "utf-8":
+            return bytes(map(_bytes_of(shown).__getitem__, word)).decode("utf-8")
+        return "".join(map(_pair(shown, really).__getitem__, word))
+    except (KeyError, UnicodeDecodeError):
         return None
-    if really == "utf-8":
-        try:
-            return raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return None
-    chars = _chars_of(really)
-    out = [chars[b] for b in raw]
-    return None if None in out else "".join(out)  # type: ignore[arg-type]
 
 
 _MARKS = "\"'“”„«»‚‘’.,;:!?…()[]{}–—-"
@@ -111,7 +114,8 @@ class Code(dict):
 
     def __missing__(self, point: int) -> str:
         c = chr(point)
-        return self.one.get(c) or "\xff" + "".join(chr((point >> k) & 0x7F) for k in (14, 7, 0))
+        got = self[point] = self.one.get(c) or "\xff" + "".join(chr((point >> k) & 0x7F) for k in (14, 7, 0))
+        return got
 
     def __init__(self, one: dict[str, str]) -> None:
         super().__init__()
@@ -230,6 +234,7 @@ class Decoder:
         self.letters, self.everywhere, self.code, self.vocab = letters.of, letters.everywhere, letters.code, vocabulary
         self.seen = self.everywhere
         self._words: dict[str, tuple[tuple[int, str], ...]] = {}
+        self._found: dict[tuple[str, str], tuple[int, ...]] = {}
         dictionaries = {}
         for l, texts in spread.items():
             kept, room = [], DICT_BYTES
@@ -240,12 +245,12 @@ class Decoder:
                     room -= len(t) + 1
             dictionaries[l] = "\n".join(kept)[:DICT_BYTES]
         self.seen = {c for d in dictionaries.values() for c in d}
-        self._words = {}
+        self._words, self._found = {}, {}
         self.raw = {l: self.code.encode(d) for l, d in dictionaries.items() if len(d) > 200}
         self._ready: dict[str, zstandard.ZstdCompressor] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_ready": None, "_words": {}}
+        return self.__dict__ | {"_ready": None, "_words": {}, "_found": {}}
 
     def length(self, text: str) -> int:
         """Bytes of the text under the best language's dictionary."""
@@ -267,7 +272,7 @@ class Decoder:
                 self._words.clear()
             out = []
             if _inner(word) not in self.vocab:
-                for k, e in enumerate(UTF8_SHOWN):
+                for k, e in enumerate(UTF8_SHOWN if word[-1] in "ÃРР" or _UTF8_SHOWN.search(word) else ()):
                     new = reread(word, e, "utf-8")
                     if new is None and len(word) > 1 and word[-1] in "ÃРР":
                         new = reread(word + "\xa0", e, "utf-8")  # the no-break space went with the gap
@@ -280,21 +285,33 @@ class Decoder:
             got = self._words[word] = tuple(out)
         return got
 
+    def _supported(self, word: str, lang: str) -> tuple[int, ...]:
+        """The chains of a word that may be offered for it: UTF-8 ones, and those that turn it into a word of the corpus or take a strange character away."""
+        got = self._found.get((word, lang))
+        if got is None:
+            if len(self._found) > 200_000:
+                self._found.clear()
+            letters = self.letters.get(lang, set())
+            known = lambda new: len(inner := _inner(new)) > 1 and self.everywhere.issuperset(inner) and inner in self.vocab
+            got = self._found[word, lang] = tuple(k for k, new in self._readings(word) if k < len(UTF8_SHOWN) or known(new) or _fits(word, new, letters))
+        return got
+
     def candidates(self, text: str) -> dict[str, int]:
         """Other readings of the text, one of each chain that finds support."""
         parts = _GAP.split(text)
-        letters = self.letters.get(profile(text) or "", set())
+        strange = [i for i, w in enumerate(parts) if not w.isascii() and self._readings(w)]
+        lang = profile(text) or "" if strange else ""
+        support = {i: self._supported(parts[i], lang) for i in strange}
+        offered = {k for ks in support.values() for k in ks}
         other: dict[int, dict[int, str]] = {}
-        for i in range(0, len(parts), 2):
-            if not parts[i].isascii():
-                for k, new in self._readings(parts[i]):
+        for i in strange if offered else ():
+            for k, new in self._readings(parts[i]):
+                if k in offered:
                     other.setdefault(k, {})[i] = new
         out: dict[str, int] = {}
         for k, new in other.items():
             if k >= len(UTF8_SHOWN):
-                sure = [i for i, w in new.items() if (_inner(w) in self.vocab and len(_inner(w)) > 1) or _fits(parts[i], w, letters)]
-                if not sure or not any(_inner(new[i]) in self.vocab or len(sure) > 1 or _fits(parts[i], new[i], letters) for i in sure):
-                    continue
+                sure = [i for i in new if k in support[i]]
                 out["".join(new.get(i, p) for i, p in enumerate(parts))] = k
                 new = {i: w for i, w in new.items() if sure[0] <= i <= sure[-1]}
             out["".join(new.get(i, p) for i, p in enumerate(parts))] = k
@@ -305,9 +322,9 @@ class Decoder:
         if not text or text.isascii():
             return text, False, 0
         now, steps, size = text, 0, None
-        letters = self.letters.get(profile(text) or "", self.everywhere)
         while other := self.candidates(now):  # every step shortens the code or the text
-            size = self.length(now) if size is None else size
+            if size is None:
+                size, letters = self.length(now), self.letters.get(profile(text) or "", self.everywhere)
             lengths = {new: self.length(new) for new in other}
             marked = ESCAPE if any(k < len(UTF8_SHOWN) for k in other.values()) else 0
             cost = {new: lengths[new] + (UTF8_COST if k < len(UTF8_SHOWN) else ONE_BYTE_COST) for new, k in other.items()}
@@ -319,6 +336,8 @@ class Decoder:
 
     def _lossy(self, text: str) -> bool:
         """The code is shorter with the signs of a lossy decoding taken as letters left out."""
+        if not any(sign in text for sign in LOST_SIGNS) and not _CONTROLS.search(text):
+            return False
         bare, holes = LOST.subn("", text)
         return holes > 0 and self.length(bare) + LOST_COST * holes < self.length(text)
 

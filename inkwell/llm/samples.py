@@ -27,12 +27,13 @@ def words(text: str) -> list[str]:
 
 def profile(text: str) -> str | None:
     """Language with the most function words, or None without a clear winner."""
-    score = dict.fromkeys(LANGS, 0.0)
-    for w in words(text):
-        for l in (of := _OF.get(w, ())):
-            score[l] += 1 / len(of)
-    best = sorted(score, key=score.get, reverse=True)
-    return best[0] if score[best[0]] > score[best[1]] else None
+    score: dict[str, float] = {}
+    for of in filter(None, map(_OF.get, words(text))):
+        for l in of:
+            score[l] = score.get(l, 0) + 1 / len(of)
+    top = max(score.values(), default=0)
+    best = [l for l, n in score.items() if n == top]
+    return best[0] if len(best) == 1 else None
 
 
 def bounded_texts(df: DataFrame, text: Column, size: int, seed: int = 7) -> list[str]:
