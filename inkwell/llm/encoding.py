@@ -14,22 +14,25 @@ encodings in different places, is restored in several steps.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.samples import LANGS, profile
 from inkwell.operators.lineage import cut as stored
 
-#: Bytes of each dictionary; digits of a cell of the hash space, 4096 of which have a text each to choose from for a language; digits of a hash.
-DICT_BYTES, CELL_DIGITS, HASH = 110_000, 3, 32
+#: Bytes of each dictionary; words and letters of a language that may ask for a text in it, the most frequent first.
+DICT_BYTES, ASKING = 110_000, 4096
+#: Counts that one task holds before it gives them out.
+HELD = 200_000
 #: Bytes that one more decoding costs, by its kind, and each letter that a lossy one left out.
 UTF8_COST, ONE_BYTE_COST, LOST_COST = 0.25, 0.5, 1
 #: Bytes that a text left unchanged costs where it decodes strictly as UTF-8: such text stands for a garbled one, so a true one has to be marked.
@@ -148,22 +151,46 @@ def _odd(word: str) -> bool:
     return LOST.search(word) is not None or (_UTF8_SHOWN.search(word) is not None and any(reread(word, e, "utf-8") not in (None, word) for e in UTF8_SHOWN))
 
 
-def tally(texts: Iterable[str]) -> dict[tuple[str, str, str], tuple[int, str]]:
-    """Over the clean texts: (language, kind, what) -> number, example.
+def _clean(text: str) -> bool:
+    return text.isascii() or not any(_odd(w) for w in text.split(" ") if not w.isascii())
 
-    Counted are texts, letters by the texts that hold them, and cells of the hash space,
-    each with the text of the smallest hash, which goes before it.
-    """
-    letters: dict[str, Counter[str]] = {l: Counter() for l in LANGS}
-    counts: dict[tuple[str, str, str], tuple[int, str]] = {}
-    for t in texts:
-        if (l := profile(t)) and (t.isascii() or not any(_odd(w) for w in t.split(" ") if not w.isascii())):
-            letters[l].update(set(t))
-            h = md5(t.encode("utf-8", "replace"), usedforsecurity=False).hexdigest()
-            for key, own in (((l, "text", ""), ""), ((l, "cell", h[:CELL_DIGITS]), h + t)):
-                n, first = counts.get(key, (0, own))
-                counts[key] = n + 1, min(first, own)
-    return counts | {(l, "letter", c): (n, "") for l in LANGS for c, n in letters[l].items()}
+
+Counts = dict[tuple[str, str], Counter[str]]
+
+
+def tally(texts: Iterable[tuple[int, str]], counts: Counts, first: dict[str, dict[str, int]]) -> None:
+    """Into ``counts``: for each language the number of clean texts, in all and by the letters and words in them; into ``first``: the smallest key of a text that holds each."""
+    here: dict[str, dict[str, int]] = {l: {} for l in LANGS}
+    for key, t in sorted(texts, reverse=True):  # the smallest key is written last
+        if (l := profile(t)) and _clean(t):
+            letters, spelled = set(t), set(t.split())
+            counts[l, "text"][""] += 1
+            counts[l, "letter"].update(letters)
+            counts[l, "word"].update(spelled)
+            here[l].update(dict.fromkeys(letters | spelled, key))
+    for l, some in here.items():
+        known = first[l]
+        for what, key in some.items():
+            known[what] = min(key, known.get(what, key))
+
+
+def _rows(counts: Counts, first: dict[str, dict[str, int]]) -> list[tuple[str, str, str, int, int]]:
+    return [(l, kind, what, n, first[l].get(what, 0)) for (l, kind), some in counts.items() for what, n in some.items()]
+
+
+def _in_turn(rows: Iterable[tuple[str, str, int, int]]) -> dict[str, dict[str, int]]:
+    """The key of the text that each letter and word of a language asks for, the most frequent first."""
+    out: dict[str, dict[str, int]] = {l: {} for l in LANGS}
+    for l, what, _, key in sorted(rows, key=lambda x: (-x[2], x[1])):
+        if len(out[l]) < ASKING:
+            out[l].setdefault(what, key)
+    return out
+
+
+def _key(text: str) -> int:
+    """Spark's xxhash64 of the text."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _hash(word: str) -> int:
@@ -198,14 +225,14 @@ class Words:
 class Letters:
     """Letters of each language and a byte for each frequent one, from counts over all clean texts."""
 
-    def __init__(self, counts: dict[tuple[str, str, str], tuple[int, str]]) -> None:
+    def __init__(self, counts: dict[tuple[str, str, str], int]) -> None:
         self.of: dict[str, set[str]] = {}
         for l in LANGS:
-            least = max(2, counts.get((l, "text", ""), (0,))[0] // 250)
-            self.of[l] = {c for (k, kind, c), (n, _) in counts.items() if k == l and kind == "letter" and (n >= least or ord(c) < 128)} | {"\xa0", "\xad"}
+            least = max(2, counts.get((l, "text", ""), 0) // 250)
+            self.of[l] = {c for (k, kind, c), n in counts.items() if k == l and kind == "letter" and (n >= least or ord(c) < 128)} | {"\xa0", "\xad"}
         self.everywhere = set().union(*self.of.values())
         frequent: Counter[str] = Counter()
-        for (_, kind, c), (n, _) in counts.items():
+        for (_, kind, c), n in counts.items():
             if kind == "letter" and c in self.everywhere:
                 frequent[c] += n
         self.code = Code({c: chr(i) for i, c in enumerate(sorted(frequent, key=lambda c: (-frequent[c], c))[:CODED], 1)})
@@ -215,35 +242,38 @@ class Decoder:
     """Dictionaries, words and letters of the clean texts of a corpus."""
 
     def __init__(self, sample: Iterable[str], vocabulary: Iterable[str]) -> None:
-        counts = tally(sample)
-        letters = Letters(counts)
-        spread: dict[str, list[str]] = {l: [] for l in LANGS}
-        for (l, kind, _), (_, text) in sorted(counts.items()):
-            if kind == "cell":
-                spread[l].append(text[HASH:])
-        self._set(letters, Words.of(w for w in vocabulary if w and all(c in letters.everywhere for c in w)), spread)
+        texts = {_key(t): t for t in sample}
+        counts, first = defaultdict(Counter), defaultdict(dict)
+        tally(texts.items(), counts, first)
+        rows = _rows(counts, first)
+        letters = Letters({r[:3]: r[3] for r in rows})
+        asking = _in_turn((l, what, n, key) for l, kind, what, n, key in rows if kind != "text")
+        self._set(letters, Words.of(w for w in vocabulary if w and all(c in letters.everywhere for c in w)), asking, texts)
 
     @classmethod
-    def fitted(cls, letters: Letters, vocabulary: Words, spread: dict[str, list[str]]) -> Decoder:
-        """``spread``: clean texts of each language from all over the corpus, for its dictionary."""
+    def fitted(cls, letters: Letters, vocabulary: Words, asking: dict[str, dict[str, int]], texts: dict[int, str]) -> Decoder:
+        """``asking``: letters and words of each language, the most frequent over all texts first, each with the key of a text that holds it."""
         new = cls.__new__(cls)
-        new._set(letters, vocabulary, spread)
+        new._set(letters, vocabulary, asking, texts)
         return new
 
-    def _set(self, letters: Letters, vocabulary: Words, spread: dict[str, list[str]]) -> None:
+    def _set(self, letters: Letters, vocabulary: Words, asking: dict[str, dict[str, int]], texts: dict[int, str]) -> None:
         self.letters, self.everywhere, self.code, self.vocab = letters.of, letters.everywhere, letters.code, vocabulary
         self.seen = self.everywhere
         self._words: dict[str, tuple[tuple[int, str], ...]] = {}
         self._found: dict[tuple[str, str], tuple[int, ...]] = {}
         dictionaries = {}
-        for l, texts in spread.items():
-            kept, room = [], DICT_BYTES
-            for t in texts:
+        for l, wanted in asking.items():
+            kept, room, held = [], DICT_BYTES, set()
+            for what, key in wanted.items():
+                t = texts[key]
                 # a dictionary holds no text that a chain could read otherwise: it would vouch for itself
-                if room > 0 and all(c in self.letters[l] for c in t) and not self.candidates(t):
+                if room > 0 and what not in held and self.letters[l].issuperset(t) and not self.candidates(t):
                     kept.append(t)
+                    held.update(t, t.split())
                     room -= len(t) + 1
-            dictionaries[l] = "\n".join(kept)[:DICT_BYTES]
+            # what is near its end costs least to refer to
+            dictionaries[l] = "\n".join(reversed(kept))[-DICT_BYTES:]
         self.seen = {c for d in dictionaries.values() for c in d}
         self._words, self._found = {}, {}
         self.raw = {l: self.code.encode(d) for l, d in dictionaries.items() if len(d) > 200}
@@ -382,26 +412,35 @@ def corpus_words(df: DataFrame, *fields: str) -> DataFrame:
 
 
 def fit_decoder(df: DataFrame, *fields: str) -> Decoder:
-    """Decoder of a corpus: letters and words are counted over all its different texts.
+    """Decoder of a corpus: letters, words and what its dictionaries hold are counted over all its different texts.
 
-    Counts are summed by batch before they are shuffled.  A dictionary has a fixed size;
-    it is filled with texts spread by hash over all clean ones of its language.  To the
-    driver come the letters, eight bytes for each word of the vocabulary, and at most
-    4096 texts a language.
+    A dictionary has a fixed size.  The letters and words of its language ask for a text
+    that holds them, the most frequent of all first, until it is full; the text is the
+    one of the smallest hash among all clean ones that hold it.  Counts are summed by
+    task before they are shuffled.  To the driver come the letters, eight bytes for each
+    word of the vocabulary, and a text for each of the ASKING words and letters of a language.
     """
-    texts = df.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("t")).where("t is not null and trim(t) <> ''").distinct()
+    every = df.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("t")).where("t is not null and trim(t) <> ''").withColumn("h", F.xxhash64("t"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, first = defaultdict(Counter), defaultdict(dict)
+        frame_of = lambda: pd.DataFrame(_rows(counts, first), columns=["lang", "kind", "what", "n", "h"])
         for frame in frames:
-            some = tally(frame["t"])
-            keys, values = zip(*some, strict=True), zip(*some.values(), strict=True)
-            yield pd.DataFrame(dict(zip(("lang", "kind", "what", "n", "example"), (*keys, *values), strict=True)))
-
-    counts = stored(texts.mapInPandas(count, "lang string, kind string, what string, n bigint, example string").groupBy("lang", "kind", "what").agg(F.sum("n").alias("n"), F.min("example").alias("example")))
-    letters = Letters({(r.lang, r.kind, r.what): (r.n, "") for r in counts.where("kind <> 'cell'").select("lang", "kind", "what", "n").collect()})
-    spread: dict[str, list[str]] = {l: [] for l in LANGS}
-    for r in sorted(counts.where("kind = 'cell'").select("lang", "example").collect()):
-        spread[r.lang].append(r.example[HASH:])
+            tally(zip(frame["h"].tolist(), frame["t"], strict=True), counts, first)
+            if sum(map(len, first.values())) > HELD:
+                yield frame_of()
+                counts.clear()
+                first.clear()
+        yield frame_of()
+
+    counts = every.distinct().mapInPandas(count, "lang string, kind string, what string, n bigint, h bigint").groupBy("lang", "kind", "what")
+    counts = stored(counts.agg(F.sum("n").alias("n"), F.min("h").alias("h")))
+    letters = Letters({(r.lang, r.kind, r.what): r.n for r in counts.where("kind <> 'word'").collect()})
+    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "what"))
+    asking = _in_turn(map(tuple, counts.where("kind <> 'text'").withColumn("place", place).where(F.col("place") <= ASKING).select("lang", "what", "n", "h").collect()))
+    keys = pd.DataFrame({"h": np.array(sorted({h for some in asking.values() for h in some.values()}), np.int64)})
+    chosen = df.sparkSession.createDataFrame(keys, "h bigint")
+    texts = {r.h: r.t for r in every.join(F.broadcast(chosen), "h", "left_semi").distinct().collect()}
     everywhere = letters.everywhere
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -410,7 +449,7 @@ def fit_decoder(df: DataFrame, *fields: str) -> Decoder:
             yield pd.DataFrame({"h": [Words.of(w for w in low if all(c in everywhere for c in w)).hashes.tobytes()]})
 
     parts = [np.frombuffer(r.h, np.uint64) for r in corpus_words(df, *fields).mapInPandas(hashed, "h binary").collect()]
-    return Decoder.fitted(letters, Words(np.concatenate([np.zeros(0, np.uint64), *parts])), spread)
+    return Decoder.fitted(letters, Words(np.concatenate([np.zeros(0, np.uint64), *parts])), asking, texts)
 
 
 def restore_column(decoder: Decoder, spark: SparkSession):

@@ -166,6 +166,18 @@ def test_a_decoder_counts_all_texts(spark, fields):
     assert "ç" in got.letters["en"] and "façade" in got.vocab and "facade" not in got.vocab
 
 
+@pytest.mark.parametrize("fields", [("src", "tgt"), ("src",)], ids=["p1_p5", "p6"])
+def test_a_dictionary_holds_what_is_frequent_over_all_texts(spark, fields):
+    rnd = random.Random(7)
+    name = lambda: "".join(rnd.choice("bdfgklm") + rnd.choice("aeiou") for _ in range(5)).title()
+    texts = [(EN + DE + UK)[i % 7].format(name(), i) for i in range(12_000)]
+    texts += [f"The {w} of {name()} is near the old house." for w in "wharf quay jetty mooring towpath sluice weir lock canal barge skiff punt".split() for _ in range(4)]
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "row_id long, src string, tgt string")
+    got = encoding.fit_decoder(df, *fields)
+    assert got.raw == encoding.Decoder(set(texts), []).raw
+    assert all(got.code.encode(f" {w} ") in got.raw["en"] for w in "wharf quay jetty mooring towpath sluice weir lock canal barge skiff punt".split())
+
+
 def test_a_vocabulary_has_no_upper_size():
     words = encoding.Words.of(f"w{i}" for i in range(250_000))
     assert "w0" in words and "w249999" in words and "w250000" not in words
