@@ -11,8 +11,12 @@ import numpy as np
 F32 = np.float32
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return F32(0.5) * np.tanh(F32(0.5) * x) + F32(0.5)
+def _reciprocal_exp1(x: np.ndarray) -> None:
+    """1 / (1 + e^x) in place; beyond 80 it is 0 in these floats."""
+    np.minimum(x, F32(80), out=x)
+    np.exp(x, out=x)
+    x += F32(1)
+    np.reciprocal(x, out=x)
 
 
 class Direction:
@@ -30,44 +34,69 @@ class Direction:
         """States (T, B, H) for bytes (T, B); with ``keep``, what the gradient needs, too."""
         steps, batch = x.shape
         h_n, two = self.h, 2 * self.h
+        # sigmoid and tanh by the exponential, which is quicker than tanh: its factor goes into the weights
+        table_g, u_g = -self.table[:, :two], -self.u[:, :two]
+        table_n, u_n = self.table[:, two:].copy(), self.u[:, two:].copy()
         out = np.empty((steps, batch, h_n), F32)
+        every_gate, every_n, every_hun = (np.empty((steps if keep else 1, batch, k), F32) for k in (two, h_n, h_n))
         h = np.zeros((batch, h_n), F32)
-        saved = []
+        of_byte, of_h = np.empty((batch, two), F32), np.empty((batch, h_n), F32)
         for t in range(steps):
-            g = self.table[x[t]]
-            hu = h @ self.u
-            gates = _sigmoid(g[:, :two] + hu[:, :two])
-            z, r = gates[:, :h_n], gates[:, h_n:]
-            n = np.tanh(g[:, two:] + r * hu[:, two:])
-            new = n + z * (h - n)
-            if keep:
-                saved.append((h, gates, n, hu[:, two:]))
-            out[t] = h = new
-        return out, saved
-
-    def grad(self, x: np.ndarray, saved: list, d_out: np.ndarray) -> list[np.ndarray]:
+            gates, n, hun = (a[t if keep else 0] for a in (every_gate, every_n, every_hun))
+            np.take(table_g, x[t], 0, out=of_byte, mode="clip")
+            np.matmul(h, u_g, out=gates)
+            gates += of_byte
+            _reciprocal_exp1(gates)
+            np.matmul(h, u_n, out=hun)
+            np.multiply(gates[:, h_n:], hun, out=n)
+            np.take(table_n, x[t], 0, out=of_h, mode="clip")
+            n += of_h
+            n *= F32(2)
+            _reciprocal_exp1(n)
+            n *= F32(-2)
+            n += F32(1)
+            new = out[t]
+            np.subtract(h, n, out=new)
+            new *= gates[:, :h_n]
+            new += n
+            h = new
+        return out, (out, every_gate, every_n, every_hun)
+
+    def grad(self, x: np.ndarray, saved: tuple, d_out: np.ndarray) -> list[np.ndarray]:
         steps, batch = x.shape
         h_n, two = self.h, 2 * self.h
-        d_u = np.zeros_like(self.u)
-        d_g = np.empty((steps, batch, 3 * h_n), F32)
-        d_h = np.zeros((batch, h_n), F32)
+        out, every_gate, every_n, every_hun = saved
+        d_g, d_hu = (np.empty((steps, batch, 3 * h_n), F32) for _ in range(2))
+        d_h, none = np.zeros((batch, h_n), F32), np.zeros((batch, h_n), F32)
+        a, b = np.empty((batch, h_n), F32), np.empty((batch, h_n), F32)
         u_t = self.u.T.copy()
         for t in range(steps - 1, -1, -1):
-            h, gates, n, hun = saved[t]
-            z, r = gates[:, :h_n], gates[:, h_n:]
-            d = d_out[t] + d_h
-            d_a = d * (1 - z) * (1 - n * n)  # candidate before its tanh
-            row = d_g[t]
-            row[:, :h_n] = d * (h - n) * z * (1 - z)
-            row[:, h_n:two] = d_a * hun * r * (1 - r)
-            row[:, two:] = d_a
-            d_hu = row.copy()
-            d_hu[:, two:] *= r
-            d_u += h.T @ d_hu
-            d_h = d * z + d_hu @ u_t
-        one_hot = np.zeros((steps * batch, 256), F32)
-        one_hot[np.arange(steps * batch), x.ravel()] = 1
-        return [one_hot.T @ d_g.reshape(-1, 3 * h_n), d_u]
+            z, r, n = every_gate[t, :, :h_n], every_gate[t, :, h_n:], every_n[t]
+            row, hu = d_g[t], d_hu[t]
+            d_h += d_out[t]
+            np.subtract(F32(1), z, out=a)
+            a *= d_h
+            np.subtract(out[t - 1] if t else none, n, out=b)
+            b *= z
+            np.multiply(a, b, out=row[:, :h_n])
+            np.multiply(n, n, out=b)
+            np.subtract(F32(1), b, out=b)
+            d_a = np.multiply(a, b, out=row[:, two:])  # candidate before its tanh
+            np.multiply(d_a, r, out=hu[:, two:])
+            np.subtract(F32(1), r, out=a)
+            a *= hu[:, two:]
+            np.multiply(a, every_hun[t], out=row[:, h_n:two])
+            hu[:, :two] = row[:, :two]
+            d_h *= z
+            d_h += np.matmul(hu, u_t, out=a)
+        d_u = out[:-1].reshape(-1, h_n).T @ d_hu[1:].reshape(-1, 3 * h_n)
+        order = np.argsort(x, axis=None, kind="stable")
+        held, first = np.unique(x.ravel()[order], return_index=True)
+        d_table = np.zeros_like(self.table)
+        rows = d_g.reshape(-1, 3 * h_n)
+        for c, some in zip(held, np.split(order, first[1:]), strict=True):
+            d_table[c] = np.ones(len(some), F32) @ rows[some]
+        return [d_table, d_u]
 
 
 class BiGRU:
@@ -96,20 +125,21 @@ class BiGRU:
         g, _ = self.backward.run(x[::-1])
         return self._soft(f @ self.w[: self.hidden] + g[::-1] @ self.w[self.hidden :] + self.b)
 
-    def loss_and_grads(self, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Mean cross entropy over positions with y >= 0, and gradients of all parameters."""
+    def loss_and_grads(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, list[np.ndarray]]:
+        """Mean cross entropy over positions with y >= 0, each with the weight of its class, and gradients of all parameters."""
         f, sf = self.forward.run(x, keep=True)
         g, sg = self.backward.run(x[::-1], keep=True)
         both = np.concatenate((f, g[::-1]), axis=2)
         p = self._soft(both @ self.w + self.b)
         on = y >= 0
-        count = max(1, int(on.sum()))
+        share = on.astype(F32) if weight is None else np.where(on, weight.astype(F32)[y], F32(0))
+        share /= max(float(share.sum()), 1e-9)
         t, b = np.nonzero(on)
         picked = p[t, b, y[t, b]]
-        loss = float(-np.log(np.maximum(picked, 1e-9)).sum() / count)
+        loss = float(-(np.log(np.maximum(picked, 1e-9)) * share[t, b]).sum())
         d = p
         d[t, b, y[t, b]] -= 1
-        d *= (on / F32(count))[..., None].astype(F32)
+        d *= share[..., None]
         flat = d.reshape(-1, self.classes)
         d_w = both.reshape(-1, 2 * self.hidden).T @ flat
         d_both = d @ self.w.T
@@ -118,25 +148,35 @@ class BiGRU:
         return loss, [*grads_f, *grads_b, d_w, flat.sum(axis=0)]
 
 
+class Adam:
+    """Steps of a model's parameters by their gradients, which are clipped."""
+
+    def __init__(self, model: BiGRU, clip: float = 1.0) -> None:
+        self.model, self.clip, self.i = model, clip, 0
+        self.m = [np.zeros_like(p) for p in model.params()]
+        self.v = [np.zeros_like(p) for p in model.params()]
+
+    def step(self, x: np.ndarray, y: np.ndarray, rate: float, weight: np.ndarray | None = None) -> float:
+        loss, grads = self.model.loss_and_grads(x, y, weight)
+        self.i += 1
+        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads)))
+        scale = min(1.0, self.clip / (norm + 1e-9))
+        for p, g, a, b in zip(self.model.params(), grads, self.m, self.v, strict=True):
+            g = g * F32(scale)
+            a += F32(0.1) * (g - a)
+            b += F32(0.01) * (g * g - b)
+            p -= F32(rate) * (a / F32(1 - 0.9**self.i)) / (np.sqrt(b / F32(1 - 0.99**self.i)) + F32(1e-8))
+        return loss
+
+
 def train(model: BiGRU, batches, rate: float = 0.01, clip: float = 1.0) -> list[float]:
     """Adam over (x, y) batches; the rate falls linearly to a tenth, and the last quarter's parameters are averaged."""
     batches = list(batches)
     mean = [np.zeros_like(p) for p in model.params()]
     last = max(1, len(batches) // 4)
-    m = [np.zeros_like(p) for p in model.params()]
-    v = [np.zeros_like(p) for p in model.params()]
-    losses = []
+    adam, losses = Adam(model, clip), []
     for i, (x, y) in enumerate(batches, 1):
-        loss, grads = model.loss_and_grads(x, y)
-        losses.append(loss)
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads)))
-        scale = min(1.0, clip / (norm + 1e-9))
-        lr = rate * (1 - 0.9 * i / len(batches))
-        for p, g, a, b in zip(model.params(), grads, m, v, strict=True):
-            g = g * F32(scale)
-            a += F32(0.1) * (g - a)
-            b += F32(0.01) * (g * g - b)
-            p -= F32(lr) * (a / F32(1 - 0.9**i)) / (np.sqrt(b / F32(1 - 0.99**i)) + F32(1e-8))
+        losses.append(adam.step(x, y, rate * (1 - 0.9 * i / len(batches))))
         if i > len(batches) - last:
             for p, q in zip(model.params(), mean, strict=True):
                 q += p / F32(last)

@@ -1,9 +1,10 @@
 """Language of every text and of every segment of a mixed one, with a confidence.
 
 The network reads one-byte text: lower case, one code for each letter of the six
-languages.  It is trained here, on a bounded sample of labelled sentences whose label
-agrees with their function words, cut and strung together so that languages change
-midway.  A text's language is that of its pooled probabilities; a clause speaks another
+languages.  It is trained here on all labelled sentences whose label agrees with their
+function words, cut and strung together so that languages change midway: a start is made
+on a bounded number of them, then every task trains a copy on all of its own, and the
+mean of the copies' parameters is the network.  A text's language is that of its pooled probabilities; a clause speaks another
 language when its own pooled probabilities do.
 """
 
@@ -12,21 +13,26 @@ from __future__ import annotations
 import os
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.bigru import BiGRU, train
+from inkwell.llm.bigru import Adam, BiGRU, train
 from inkwell.llm.confusables import consistent
 from inkwell.llm.encoding import Decoder, fit_decoder
 from inkwell.llm.samples import LANGS, profile
 
-#: Labelled sentences trained on, at most; hidden units; training steps, bytes and texts a step.
+#: Labelled sentences that the training starts with, at most; hidden units; training steps, bytes and texts a step.
 SAMPLE, HIDDEN, STEPS, LENGTH, BATCH = 4096, 24, 480, 96, 48
+#: Lengths of the pieces that sentences are cut into.  Over all sentences: rate, rows a step, and steps whose pieces are mixed.
+PIECES = (25, 40, 60, 96)
+RATE, ROWS, MIXED = 0.002, 256, 8
 #: Texts, or windows of long ones, read at once; positions of a window, and those on each side that only give it context.
 READ, WINDOW, CONTEXT = 512, 512, 48
 #: A clause of another language: words, letters, and mean probability it needs.  A clause
@@ -51,6 +57,7 @@ _MARKS = "“”„«»‚‘’—–…№€£§ºª½¼¾"
 _CODE = {chr(i): i for i in range(32, 127)} | {c: 0x80 + i for i, c in enumerate(_CYRILLIC)} | {c: 0xB0 + i for i, c in enumerate(_MARKS)} | {chr(i): i for i in range(0xDF, 0x100)}
 _OTHER = 0xDE
 _PLAIN = str.maketrans({c: chr(b) for c, b in _CODE.items()})
+_NONE = np.zeros((1, len(LANGS)), np.float32)
 _CLAUSE = re.compile(r"[^.!?…:;,“”«»„—–()\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -67,7 +74,10 @@ def to_bytes(text: str) -> np.ndarray:
     if len(low) != len(text):  # a few capitals fold to two letters
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     coded = low.translate(_PLAIN)
-    return np.frombuffer(coded.encode("latin-1") if all(c < "Ā" for c in coded) else bytes(ord(c) if c < "Ā" else _OTHER for c in coded), np.uint8)
+    try:
+        return np.frombuffer(coded.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        return np.frombuffer(bytes(ord(c) if c < "Ā" else _OTHER for c in coded), np.uint8)
 
 
 @dataclass
@@ -99,7 +109,7 @@ class Tagger:
 
     @staticmethod
     def document(p: np.ndarray) -> tuple[int, float]:
-        mean = p.mean(axis=0)
+        mean = p.sum(axis=0) / np.float32(len(p))
         best = int(mean.argmax())
         return best, float(mean[best])
 
@@ -107,10 +117,11 @@ class Tagger:
     def clauses(text: str, p: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
         """(start, end, mean probabilities) of each clause long enough to tell."""
         out = []
+        sums = np.concatenate((_NONE, p)).cumsum(axis=0, dtype=np.float64)
         for m in _CLAUSE.finditer(text):
             words = _WORD.findall(m.group())
             if len(words) >= WORDS and sum(map(len, words)) >= LETTERS:
-                out.append((m.start(), m.end(), p[m.start() : m.end()].mean(axis=0)))
+                out.append((m.start(), m.end(), ((sums[m.end()] - sums[m.start()]) / (m.end() - m.start())).astype(np.float32)))
         return out
 
     def segments(self, texts: list[str], probs: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
@@ -143,7 +154,7 @@ class Tagger:
 
 
 def train_tagger(labelled: DataFrame, text: str, label: str, size: int = SAMPLE, steps: int = STEPS, seed: int = 5) -> Tagger:
-    """Network trained on at most ``size`` sentences for each language, one of each cell of the hash space."""
+    """Network trained on all labelled sentences; the start is made on at most ``size``, one of each cell of the hash space."""
     rows = labelled.select(known_label(F.col(label)).alias("l"), F.col(text).alias("t")).where("l is not null and trim(t) <> ''")
     cell = F.pmod(F.xxhash64("t"), F.lit(size // len(LANGS)))
     picked = rows.groupBy("l", cell.alias("c")).agg(F.min_by("t", F.xxhash64(F.lit(9), "t")).alias("t")).select("l", "t").collect()
@@ -167,7 +178,7 @@ def train_tagger(labelled: DataFrame, text: str, label: str, size: int = SAMPLE,
                 while at < LENGTH:
                     l = rnd.choice(present)
                     t = rnd.choice(by[l])
-                    n = min(rnd.choice((25, 40, 60, 96)), LENGTH - at, len(t))
+                    n = min(rnd.choice(PIECES), LENGTH - at, len(t))
                     a = rnd.choice(starts[l, id(t)]) if rnd.random() < 0.5 else rnd.randrange(len(t) - n + 1)
                     n = min(n, len(t) - a)
                     x[at : at + n, j], y[at : at + n, j] = t[a : a + n], LANGS.index(l)
@@ -180,9 +191,87 @@ def train_tagger(labelled: DataFrame, text: str, label: str, size: int = SAMPLE,
             yield x, y
 
     train(model, batches(), rate=0.015)
+    _train_on_all(model, rows, seed)
     return Tagger(model)
 
 
+def strung(texts: Iterable[tuple[str, str]], rnd: random.Random) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of (bytes, language) that hold every byte of (language, text) once: pieces of the texts, mixed and strung together."""
+    pieces: list[tuple[int, np.ndarray]] = []
+
+    def batches() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rnd.shuffle(pieces)
+        x, y, at = [], [], 0
+        for k, piece in pieces:
+            # some rows end early: the rest is padding, as behind short texts
+            gap = 1 if rnd.random() > 0.06 else -(at + len(piece)) % LENGTH
+            x += [piece, np.full(gap, 32 if gap == 1 else 0, np.uint8)]
+            y += [np.full(len(piece), k), np.full(gap, -1)]
+            at += len(piece) + gap
+        x, y = np.concatenate([*x, np.zeros(-at % LENGTH, np.uint8)]).reshape(-1, LENGTH), np.concatenate([*y, np.full(-at % LENGTH, -1)]).reshape(-1, LENGTH)
+        n = max(1, round(len(x) / ROWS))
+        yield from zip((a.T.copy() for a in np.array_split(x, n)), (a.T.copy() for a in np.array_split(y, n)), strict=True)
+        pieces.clear()
+
+    held = 0
+    for l, text in texts:
+        t = to_bytes(text)
+        at, raw = 0, t.tobytes()
+        while at < len(t):
+            end = at + rnd.choice(PIECES)
+            if rnd.random() < 0.5:  # the next piece begins with a word
+                end = raw.find(b" ", end) + 1 or len(t)
+            pieces.append((LANGS.index(l), t[at:end]))
+            held += min(end, len(t)) - at
+            at = end
+            if held >= LENGTH * ROWS * MIXED:
+                yield from batches()
+                held = 0
+    if pieces:
+        yield from batches()
+
+
+def _train_on_all(model: BiGRU, rows: DataFrame, seed: int) -> None:
+    """The model trained on by every different text of the ``l, t`` rows, once.
+
+    Each task trains a copy on its texts, in the order of their hashes; the parameters
+    are the mean over the steps of all tasks.  Languages weigh alike, however many texts
+    they have.  To the driver come a few sums of the parameters.
+    """
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.sum(F.length("t")).alias("n")).collect()}
+    weight = np.array([1 / sizes[l] if l in sizes else 0 for l in LANGS])
+    weight = weight / weight.max()
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def trained(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _one_thread()
+        task = TaskContext.get().partitionId()
+        mine = deepcopy(shared.value)
+        adam, sums, n = Adam(mine), [np.zeros(p.shape) for p in mine.params()], 0
+        agreed = ((l, t) for frame in frames for l, t in zip(frame["l"], frame["t"], strict=True) if profile(t) == l)
+        for x, y in strung(agreed, random.Random(f"{seed} {task}")):
+            adam.step(x, y, RATE, weight)
+            told = int((y >= 0).sum())
+            n += told
+            for p, q in zip(mine.params(), sums, strict=True):
+                q += told * p
+        yield pd.DataFrame({"task": [task], "n": [n], "sums": [np.concatenate([q.ravel() for q in sums]).tobytes()]})
+
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("task")
+        return pd.DataFrame({"task": frame["task"][:1], "n": [frame["n"].sum()], "sums": [sum(np.frombuffer(s) for s in frame["sums"]).tobytes()]})
+
+    form = "task int, n bigint, sums binary"
+    copies = rows.distinct().sortWithinPartitions(F.xxhash64("t"), "t", "l").mapInPandas(trained, form)
+    parts = sorted(copies.groupBy(F.col("task") % 16).applyInPandas(summed, form).collect())
+    if n := sum(r.n for r in parts):
+        mean = sum(np.frombuffer(r.sums) for r in parts) / n
+        at = 0
+        for p in model.params():
+            p[...] = mean[at : at + p.size].reshape(p.shape)
+            at += p.size
+
+
 def _one_thread() -> None:
     """Numpy inside a Spark task keeps to the task's core."""
     for v in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
@@ -230,7 +319,7 @@ def label_texts(df: DataFrame, id_col: str, text: str, tagger: Tagger, decoder:
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Tagger, Decoder]:
     report = spark.read.parquet(f"{sf_dir}/generate_report.parquet").select("report_id", "src", "language")
     gold = spark.read.parquet(f"{sf_dir}/gold_annotations.parquet").select("row_id", "src")
-    return report, gold, train_tagger(report, "src", "language"), fit_decoder(gold, "src")
+    return report, gold, train_tagger(report, "src", "language"), fit_decoder(report.select("src").unionByName(gold.select("src")), "src")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,37 @@ def test_languages_on_held_out_text(spark):
     assert langs.label_texts(odd.limit(0), "row_id", "src", tagger).count() == 0
 
 
+def test_the_network_is_trained_on_all_labelled_texts(spark):
+    rare = "äöüßàáâãåæçèéêëìíîïñòóôõøùúûý"
+    texts = [f"The old house near the {a}{b} is not for sale because of that." for a in "bcdfghjklm" for b in "aeioubcdfg"]
+    texts += [f"The word {c}{c} is in the dictionary and that was it." for c in rare]
+    df = spark.createDataFrame([(t, " EN") for t in texts for _ in range(2)], "src string, language string")
+    tagger = langs.train_tagger(df, "src", "language", size=12, steps=2)
+    before = bigru.BiGRU(len(LANGS), langs.HIDDEN, 5).forward.table
+    assert all((tagger.model.forward.table[langs.to_bytes(c)[0]] != before[langs.to_bytes(c)[0]]).any() for c in rare)
+
+
+def test_batches_hold_every_byte_once():
+    rnd = random.Random(1)
+    texts = [("en", "ab cd " * rnd.randrange(60)) for _ in range(500)] + [("uk", "слово " * 40_000), ("de", "")]
+    got = np.zeros((len(LANGS), 256), int)
+    for x, y in langs.strung(texts, rnd):
+        assert x.shape == y.shape and len(x) == langs.LENGTH
+        np.add.at(got, (y[y >= 0], x[y >= 0]), 1)
+    want = np.zeros_like(got)
+    for l, t in texts:
+        np.add.at(want[LANGS.index(l)], langs.to_bytes(t), 1)
+    assert (got == want).all()
+
+
+def test_the_decoder_counts_the_texts_of_both_tables(spark, tmp_path):
+    report = [(i, f"The wharf number {i} is near the old house.", "en") for i in range(40)]
+    spark.createDataFrame(report, "report_id long, src string, language string").write.parquet(f"{tmp_path}/generate_report.parquet")
+    spark.createDataFrame([(1, "The jetty is old."), (2, "The jetty is not old."), (3, "A jetty it was.")], "row_id long, src string").write.parquet(f"{tmp_path}/gold_annotations.parquet")
+    decoder = langs._tables(spark, str(tmp_path))[3]
+    assert "wharf" in decoder.vocab and "jetty" in decoder.vocab
+
+
 def test_labels_of_languages(spark):
     df = spark.createDataFrame([("EN",), (" ua ",), ("deu",), ("und",), ("",), (None,)], "l string")
     assert [r[0] for r in df.select(langs.known_label(F.col("l"))).collect()] == ["en", "uk", "de", None, None, None]
