@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
-from hashlib import md5
+from collections.abc import Iterable, Iterator, Sequence
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,8 @@ from inkwell.operators.lineage import cut as stored
 DICT_BYTES, ASKING = 110_000, 4096
 #: Counts that one task holds before it gives them out.
 HELD = 200_000
+#: Characters of the texts that are counted at once.
+BLOCK = 1 << 20
 #: Bytes that one more decoding costs, by its kind, and each letter that a lossy one left out.
 UTF8_COST, ONE_BYTE_COST, LOST_COST = 0.25, 0.5, 1
 #: Bytes that a text left unchanged costs where it decodes strictly as UTF-8: such text stands for a garbled one, so a true one has to be marked.
@@ -160,18 +162,55 @@ Counts = dict[tuple[str, str], Counter[str]]
 
 def tally(texts: Iterable[tuple[int, str]], counts: Counts, first: dict[str, dict[str, int]]) -> None:
     """Into ``counts``: for each language the number of clean texts, in all and by the letters and words in them; into ``first``: the smallest key of a text that holds each."""
-    here: dict[str, dict[str, int]] = {l: {} for l in LANGS}
-    for key, t in sorted(texts, reverse=True):  # the smallest key is written last
+    clean: dict[str, list[tuple[int, str]]] = {}
+    for key, t in sorted(texts):
         if (l := profile(t)) and _clean(t):
-            letters, spelled = set(t), set(t.split())
-            counts[l, "text"][""] += 1
-            counts[l, "letter"].update(letters)
-            counts[l, "word"].update(spelled)
-            here[l].update(dict.fromkeys(letters | spelled, key))
-    for l, some in here.items():
-        known = first[l]
-        for what, key in some.items():
-            known[what] = min(key, known.get(what, key))
+            clean.setdefault(l, []).append((key, t))
+    for l, some in clean.items():
+        at = 0
+        while at < len(some):
+            end, size = at, 0
+            while end < len(some) and (end == at or size < BLOCK):
+                size += len(some[end][1])
+                end += 1
+            keys, block = zip(*some[at:end], strict=True)
+            at, known = end, first[l]
+            counts[l, "text"][""] += len(block)
+            for kind, held in (("letter", _letters_in(block)), ("word", _words_in(block))):
+                counter = counts[l, kind]
+                for what, n, i in zip(*held, strict=True):
+                    counter[what] += n
+                    known[what] = min(keys[i], known.get(what, keys[i]))
+
+
+def _letters_in(texts: Sequence[str]) -> tuple[list[str], list[int], list[int]]:
+    """Each character, the number of texts that hold it, and the place of the first of them."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    held = np.zeros(0x110000, bool)
+    held[points] = True
+    chars = np.flatnonzero(held)
+    place = np.empty(0x110000, np.int32)
+    place[chars] = np.arange(len(chars))
+    of, row = place[points], np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    n, at = np.zeros(len(chars), np.int64), np.full(len(chars), -1)
+    starts = np.searchsorted(row, np.arange(0, len(texts) + 1000, 1000))
+    for k, (lo, hi) in enumerate(zip(starts, starts[1:], strict=False)):
+        there = np.zeros((1000, len(chars)), bool)
+        there[row[lo:hi] - 1000 * k, of[lo:hi]] = True
+        here = there.sum(axis=0)
+        at = np.where((at < 0) & (here > 0), 1000 * k + there.argmax(axis=0), at)
+        n += here
+    return list(map(chr, chars.tolist())), n.tolist(), at.tolist()
+
+
+def _words_in(texts: Sequence[str]) -> tuple[list[str], list[int], list[int]]:
+    """Each word, the number of texts that hold it, and the place of the first of them."""
+    tokens = [t.split() for t in texts]
+    code, spelled = pd.factorize(np.array([*chain.from_iterable(tokens), ""], object)[:-1])
+    row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, tokens), np.int64, len(texts)))
+    pairs = np.unique(code.astype(np.int64) * len(texts) + row)
+    start = np.searchsorted(pairs, np.arange(len(spelled)) * len(texts))
+    return list(spelled), np.diff([*start, len(pairs)]).tolist(), (pairs[start] % len(texts)).tolist()
 
 
 def _rows(counts: Counts, first: dict[str, dict[str, int]]) -> list[tuple[str, str, str, int, int]]:
@@ -194,7 +233,7 @@ def _key(text: str) -> int:
 
 
 def _hash(word: str) -> int:
-    return int.from_bytes(md5(word.encode("utf-8", "replace"), usedforsecurity=False).digest()[:8], "little")
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
 
 
 class Words:
@@ -216,11 +255,25 @@ class Words:
         if got is None:
             if len(self._asked) > 200_000:
                 self._asked.clear()
-            h = np.uint64(_hash(word))
-            at = int(np.searchsorted(self.hashes, h))
-            got = self._asked[word] = at < len(self.hashes) and bool(self.hashes[at] == h)
+            h = _hash(word)
+            bits, shift = self._bits
+            k = h >> shift
+            got = bool(bits[k >> 3] >> (k & 7) & 1)
+            if got:  # most words that are not in the set end before
+                at = int(np.searchsorted(self.hashes, np.uint64(h)))
+                got = at < len(self.hashes) and int(self.hashes[at]) == h
+            self._asked[word] = got
         return got
 
+    @cached_property
+    def _bits(self) -> tuple[bytes, int]:
+        """One bit for each stretch of hashes that holds some, about eight bits a word, and the stretch's size as a power of two."""
+        shift = 64 - max(3, (8 * len(self.hashes)).bit_length())
+        k = self.hashes >> np.uint64(shift)
+        bits = np.zeros(1 << (61 - shift), np.uint8)
+        np.bitwise_or.at(bits, k >> np.uint64(3), np.left_shift(np.uint8(1), (k & np.uint64(7)).astype(np.uint8)))
+        return bits.tobytes(), shift
+
 
 class Letters:
     """Letters of each language and a byte for each frequent one, from counts over all clean texts."""
@@ -260,7 +313,8 @@ class Decoder:
     def _set(self, letters: Letters, vocabulary: Words, asking: dict[str, dict[str, int]], texts: dict[int, str]) -> None:
         self.letters, self.everywhere, self.code, self.vocab = letters.of, letters.everywhere, letters.code, vocabulary
         self.seen = self.everywhere
-        self._words: dict[str, tuple[tuple[int, str], ...]] = {}
+        self._words: dict[str, tuple[tuple[tuple[int, str], ...], tuple[tuple[int, bool], ...]]] = {}
+        self._signs: dict[str, tuple[int, int, int]] = {}
         self._found: dict[tuple[str, str], tuple[int, ...]] = {}
         dictionaries = {}
         for l, wanted in asking.items():
@@ -280,7 +334,7 @@ class Decoder:
         self._ready: dict[str, zstandard.ZstdCompressor] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_ready": None, "_words": {}, "_found": {}}
+        return self.__dict__ | {"_ready": None, "_words": {}, "_signs": {}, "_found": {}}
 
     def length(self, text: str) -> int:
         """Bytes of the text under the best language's dictionary."""
@@ -294,13 +348,13 @@ class Decoder:
         data = self.code.encode(text)
         return min((len(c.compress(data)) for c in self._ready.values()), default=len(data))
 
-    def _readings(self, word: str) -> tuple[tuple[int, str], ...]:
-        """(chain, other reading) of a word, UTF-8 chains first; () for words of the corpus."""
+    def _readings(self, word: str) -> tuple[tuple[tuple[int, str], ...], tuple[tuple[int, bool], ...]]:
+        """(chain, other reading) of a word by UTF-8 chains, and the one-byte chains that read it otherwise (``_chains_of``); both empty for words of the corpus."""
         got = self._words.get(word)
         if got is None:
             if len(self._words) > 200_000:
                 self._words.clear()
-            out = []
+            out, chains = [], ()
             if _inner(word) not in self.vocab:
                 for k, e in enumerate(UTF8_SHOWN if word[-1] in "ÃРР" or _UTF8_SHOWN.search(word) else ()):
                     new = reread(word, e, "utf-8")
@@ -308,11 +362,36 @@ class Decoder:
                         new = reread(word + "\xa0", e, "utf-8")  # the no-break space went with the gap
                     if new is not None and new != word and all(c in self.seen or c < "\x80" or _shown_again(c) for c in new):
                         out.append((k, new))
-                for k, (e, f) in enumerate(ONE_BYTE, len(UTF8_SHOWN)):
-                    new = reread(word, e, f)
-                    if new is not None and new != word:
-                        out.append((k, new))
-            got = self._words[word] = tuple(out)
+                chains = self._chains_of(word)
+            got = self._words[word] = tuple(out), chains
+        return got
+
+    def _chains_of(self, word: str) -> tuple[tuple[int, bool], ...]:
+        """(chain, may be supported) of the one-byte chains that read the word otherwise.
+
+        All the encodings have ASCII in common.  No chain is supported that gives a
+        character of no language.
+        """
+        reads, differs, likely = -1, 0, -1
+        for c in set(word):
+            if c > "\x7f":
+                x, y, z = self._signs.get(c) or self._sign(c)
+                reads &= x
+                differs |= y
+                likely &= z
+        return _numbered(reads & differs, likely)
+
+    def _sign(self, c: str) -> tuple[int, int, int]:
+        """One bit for each one-byte chain that reads the character, that reads it otherwise, that gives one of a language."""
+        reads = differs = likely = 0
+        for k, (e, f) in enumerate(ONE_BYTE):
+            if (new := _pair(e, f).get(c)) is not None:
+                reads |= 1 << k
+                differs |= (new != c) << k
+                likely |= (new in self.everywhere or new in _MARKS or self.everywhere.issuperset(new.lower())) << k
+        if len(self._signs) > 200_000:
+            self._signs.clear()
+        got = self._signs[c] = reads, differs, likely
         return got
 
     def _supported(self, word: str, lang: str) -> tuple[int, ...]:
@@ -323,21 +402,28 @@ class Decoder:
                 self._found.clear()
             letters = self.letters.get(lang, set())
             known = lambda new: len(inner := _inner(new)) > 1 and self.everywhere.issuperset(inner) and inner in self.vocab
-            got = self._found[word, lang] = tuple(k for k, new in self._readings(word) if k < len(UTF8_SHOWN) or known(new) or _fits(word, new, letters))
+            utf8, chains = self._readings(word)
+            got = [k for k, _ in utf8]
+            got += [k for k, likely in chains if likely and (known(new := _by_chain(word, k)) or _fits(word, new, letters))]
+            got = self._found[word, lang] = tuple(got)
         return got
 
     def candidates(self, text: str) -> dict[str, int]:
         """Other readings of the text, one of each chain that finds support."""
         parts = _GAP.split(text)
-        strange = [i for i, w in enumerate(parts) if not w.isascii() and self._readings(w)]
+        strange = [i for i, w in enumerate(parts) if not w.isascii() and any(self._readings(w))]
         lang = profile(text) or "" if strange else ""
         support = {i: self._supported(parts[i], lang) for i in strange}
         offered = {k for ks in support.values() for k in ks}
         other: dict[int, dict[int, str]] = {}
         for i in strange if offered else ():
-            for k, new in self._readings(parts[i]):
+            utf8, chains = self._readings(parts[i])
+            for k, new in utf8:
                 if k in offered:
                     other.setdefault(k, {})[i] = new
+            for k, _ in chains:
+                if k in offered:
+                    other.setdefault(k, {})[i] = _by_chain(parts[i], k)
         out: dict[str, int] = {}
         for k, new in other.items():
             if k >= len(UTF8_SHOWN):
@@ -372,6 +458,17 @@ class Decoder:
         return holes > 0 and self.length(bare) + LOST_COST * holes < self.length(text)
 
 
+@lru_cache(50_000)
+def _numbered(chains: int, likely: int) -> tuple[tuple[int, bool], ...]:
+    """Numbers of the one-byte chains whose bits are set, and whether they are set in ``likely``."""
+    return tuple((len(UTF8_SHOWN) + k, bool(likely >> k & 1)) for k in range(len(ONE_BYTE)) if chains >> k & 1)
+
+
+def _by_chain(word: str, k: int) -> str:
+    """The word's reading by the one-byte chain of this number, which has one."""
+    return "".join(map(_pair(*ONE_BYTE[k - len(UTF8_SHOWN)]).__getitem__, word))
+
+
 def _fits(old: str, new: str, letters: set[str]) -> bool:
     """The old word has a character strange to the language, the new one has none; lone signs prove nothing."""
     return any(c not in letters for c in old) and all(c in letters for c in new) and any(map(str.isalnum, old))

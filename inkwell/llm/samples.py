@@ -18,7 +18,9 @@ FUNCTION_WORDS = {
     "ru": "и что не на это в с как из возле для по из-за вместе очень так потому ещё моя мой наша старый через уже раз".split(),
 }
 _WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
-_OF = {w: tuple(l for l in LANGS if w in FUNCTION_WORDS[l]) for l in LANGS for w in FUNCTION_WORDS[l]}
+_IN = {w: [l for l in LANGS if w in FUNCTION_WORDS[l]] for l in LANGS for w in FUNCTION_WORDS[l]}
+#: Languages of each function word, and its share for each.
+_OF = {w: tuple((l, 1 / len(of)) for l in of) for w, of in _IN.items()}
 
 
 def words(text: str) -> list[str]:
@@ -29,9 +31,11 @@ def profile(text: str) -> str | None:
     """Language with the most function words, or None without a clear winner."""
     score: dict[str, float] = {}
     for of in filter(None, map(_OF.get, words(text))):
-        for l in of:
-            score[l] = score.get(l, 0) + 1 / len(of)
-    top = max(score.values(), default=0)
+        for l, share in of:
+            score[l] = score.get(l, 0) + share
+    if len(score) < 2:
+        return next(iter(score), None)
+    top = max(score.values())
     best = [l for l, n in score.items() if n == top]
     return best[0] if len(best) == 1 else None
 

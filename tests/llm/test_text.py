@@ -182,3 +182,37 @@ def test_a_vocabulary_has_no_upper_size():
     words = encoding.Words.of(f"w{i}" for i in range(250_000))
     assert "w0" in words and "w249999" in words and "w250000" not in words
     assert "w0" not in encoding.Words.of([])
+
+
+def test_counts_of_a_block_against_brute_force():
+    texts = [(k * 7919 % 1009, t) for k, t in enumerate(corpus() + ["A 漢 is in the house and a is a letter.", "The the THE the of", "and  of\u00a0the 😀 is"])]
+    counts, first = encoding.defaultdict(encoding.Counter), encoding.defaultdict(dict)
+    encoding.tally(texts, counts, first)
+    want, least = encoding.defaultdict(encoding.Counter), encoding.defaultdict(dict)
+    for key, t in texts:
+        if l := encoding.profile(t):
+            want[l, "text"][""] += 1
+            for kind, held in (("letter", set(t)), ("word", set(t.split()))):
+                want[l, kind].update(held)
+                least[l] |= {x: min(key, least[l].get(x, key)) for x in held}
+    assert counts == want and first == least
+    for read in (encoding._letters_in, encoding._words_in):
+        assert all(isinstance(x, list) for x in read([""]))
+
+
+def test_only_chains_that_may_be_supported_are_read(decoder, monkeypatch):
+    words = [w.encode(a).decode(b) for w in ("Учителька", "Prüferin", "жабові", "ßtraße") for a, b in (("cp1251", "cp1252"), ("cp1252", "cp1250"), ("koi8_u", "cp1251"), ("cp1251", "cp866"), ("utf-8", "cp437")) if w.encode(a, "ignore").decode(a) == w and w.encode(a).decode(b, "ignore").encode(b) == w.encode(a)]
+    asked = []
+    by_chain = encoding._by_chain
+    monkeypatch.setattr(encoding, "_by_chain", lambda w, k: asked.append(k) or by_chain(w, k))
+    n = len(encoding.UTF8_SHOWN)
+    other = 0
+    for w in (w for w in words if encoding._inner(w) not in decoder.vocab):
+        every = {k: r for k, (e, f) in enumerate(encoding.ONE_BYTE, n) if (r := encoding.reread(w, e, f)) not in (None, w)}
+        other += len(every)
+        assert [k for k, _ in decoder._readings(w)[1]] == list(every) and all(by_chain(w, k) == r for k, r in every.items())
+        for lang in ("en", "de", "uk", ""):
+            letters = decoder.letters.get(lang, set())
+            known = {k for k, r in every.items() if len(x := encoding._inner(r)) > 1 and decoder.everywhere.issuperset(x) and x in decoder.vocab}
+            assert {k for k in decoder._supported(w, lang) if k >= n} == known | {k for k, r in every.items() if encoding._fits(w, r, letters)}
+    assert len(words) > 5 and 0 < len(asked) < 2 * other
