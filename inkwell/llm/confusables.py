@@ -152,9 +152,20 @@ def _sort_of(c: str) -> str:
     return script(c)
 
 
+class _Sorts(dict):
+    """What _sort_of tells of each character."""
+
+    def __missing__(self, c: str) -> str:
+        got = self[c] = _sort_of(c)
+        return got
+
+
+_SORTS = _Sorts()
+
+
 def _may_hold_case(text: str) -> bool:
-    sorts = {_sort_of(c) for c in set(text)} - {""}
-    return "!" in sorts or len(sorts) > 1
+    sorts = set(map(_SORTS.__getitem__, set(text)))
+    return "!" in sorts or len(sorts) > 1 + ("" in sorts)
 
 
 def plain_characters(text: str) -> str:
@@ -185,7 +196,10 @@ def consistent(text: str) -> str:
     """The text in the one form, word by word; a text that holds no case comes back unchanged."""
     if text.isascii() or not _may_hold_case(text):
         return text
-    return _WORD.sub(lambda m: w if (w := m.group()).isascii() else spelled(w), plain_characters(text))
+    plain = plain_characters(text)
+    if all(w.isascii() or spelled(w) == w for w in set(_WORD.findall(plain))):
+        return plain
+    return _WORD.sub(lambda m: w if (w := m.group()).isascii() else spelled(w), plain)
 
 
 def odd_words(text: str) -> list[str]:

@@ -42,7 +42,8 @@ _DOTS = re.compile(r"(?:\s*(?:\.\.+|…+))+\s*$")
 _CLOSERS = "\"'”’»“)]}*_ \n\t\r"
 _OPEN_CLOSE = {"“": "”", "«": "»", "„": "“", "(": ")", "[": "]", "{": "}", "‚": "‘"}
 _WORD = re.compile(r"\w+")
-_LETTERS = re.compile(r"[^\W_]+")
+_SIGNS = re.compile(r"[\W_]+")
+_ASCII_SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
 _SENTENCE_END = re.compile(r"[\"'”’»“)\]}*_]*(?:[.!?](?!\w)|[ \t]*[\r\n])|\"\s*[,}\]]")
 _EDGE = "\"'“”„«»‚‘’.,;!?…()[]{}<>*|"
 #: How a JSON object or list begins.
@@ -64,7 +65,9 @@ def project(aligned: str, side: int) -> str:
 
 def letters(text: str) -> str:
     """What alignment compares: letters and digits in one form and case."""
-    return "".join(_LETTERS.findall(consistent(text).casefold()))
+    if text.isascii():
+        return text.lower().encode().translate(None, _ASCII_SIGNS).decode()
+    return _SIGNS.sub("", consistent(text).casefold())
 
 
 def _core(token: str) -> str:
@@ -142,6 +145,8 @@ class Asking(Copy):
 
     def __init__(self, text: str) -> None:
         super().__init__(_DOTS.sub("", project(text, 2)))
+        #: Texts that it was compared with; buckets of one task share many.
+        self.tried: set[int] = set()
 
     @cached_property
     def inner(self) -> set[int]:
@@ -189,12 +194,15 @@ def _early_in_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in members:
             if r[5] and (tbl, r[4]) not in found:
                 asking = _asking(r[6])
-                at = joined.find(asking.end) if asking.inner and asking.end else -1
+                at = joined.find(asking.end) if asking.end else -1
                 while at >= 0:
                     j = bisect_right(starts, at) - 1
-                    if full[j][0] != r[4] and asking.goes_on_in(full[j][1]):
-                        found.add((tbl, r[4]))
-                        break
+                    if full[j][0] != r[4] and full[j][0] not in asking.tried:
+                        if asking.goes_on_in(full[j][1]):
+                            found.add((tbl, r[4]))
+                            break
+                        if len(asking.tried) < CELL:
+                            asking.tried.add(full[j][0])
                     at = joined.find(asking.end, starts[j + 1])
         if len(found) > 10_000:
             yield pd.DataFrame(sorted(found), columns=["tbl", "text_id"])
@@ -344,15 +352,16 @@ def _early_texts(rows: DataFrame, states: DataFrame) -> DataFrame:
     buckets = banded.groupBy("tbl", "band").agg(F.max("open").alias("any_open"), F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("any_open and lo <> hi")
     members = stored(banded.join(buckets.select("tbl", "band"), ["tbl", "band"], "left_semi").groupBy("tbl", "band", "text_id").agg(F.max("open").alias("open")))
     n_cells = lambda n: F.ceil(n / CELL).cast("int")
-    sizes = members.groupBy("tbl", "band").agg(n_cells(F.count(F.lit(1))).alias("as"), n_cells(F.count_if("open")).alias("bs"))
+    sizes = members.groupBy("tbl", "band").agg(n_cells(F.count(F.lit(1))).alias("as"), n_cells(F.count_if("open")).alias("bs"), F.min("text_id").alias("lo"))
     own = lambda n: F.pmod(F.xxhash64("text_id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sized = members.join(sizes, ["tbl", "band"])
-    having = sized.select("tbl", "band", own("as").alias("a"), every("bs").alias("b"), "text_id", F.lit(False).alias("asks"))
-    asking = sized.where("open").select("tbl", "band", every("as").alias("a"), own("bs").alias("b"), "text_id", F.lit(True).alias("asks"))
+    having = sized.select("tbl", "lo", "band", own("as").alias("a"), every("bs").alias("b"), "text_id", F.lit(False).alias("asks"))
+    asking = sized.where("open").select("tbl", "lo", "band", every("as").alias("a"), own("bs").alias("b"), "text_id", F.lit(True).alias("asks"))
     texts = rows.groupBy("tbl", "text_id").agg(F.first("text").alias("text"))
-    cells = having.unionByName(asking).join(texts, ["tbl", "text_id"]).select("tbl", "band", "a", "b", "text_id", "asks", "text")
-    cells = cells.repartition("tbl", "band", "a", "b").sortWithinPartitions("tbl", "band", "a", "b")
+    cells = having.unionByName(asking).join(texts, ["tbl", "text_id"])
+    # buckets that begin with the same text share others, too: they are read one after the other
+    cells = cells.repartition("tbl", "lo", "a", "b").sortWithinPartitions("tbl", "lo", "band", "a", "b").select("tbl", "band", "a", "b", "text_id", "asks", "text")
     return cells.mapInPandas(_early_in_cells, "tbl string, text_id bigint").distinct()
 
 

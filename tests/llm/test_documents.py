@@ -116,6 +116,24 @@ def test_near_copies_that_differ_early_or_end_in_the_same_word(spark):
     assert sorted(r.row_id for r in cuts.cut_texts(df).collect()) == [3, 4, 5]
 
 
+def test_a_pair_of_several_buckets_is_compared_once(monkeypatch):
+    asked = []
+    goes_on_in = cuts.Asking.goes_on_in
+    monkeypatch.setattr(cuts.Asking, "goes_on_in", lambda self, full: asked.append(full.text) or goes_on_in(self, full))
+    words = [f"{a}{b}" for a in "abcdefg" for b in "qrstuvw"]
+    full, cut = " ".join(words[:40]) + ".", " ".join(words[:37])
+    other = " ".join(words[40:] + words[30:37] + words[:3]) + "."  # has the last words, not those before
+    rows = [("e", band, 0, 0, i, asks, t) for band in (1, 2, 3) for i, t, asks in [(1, other, False), (2, cut, True), *([(3, full, False)] if band == 3 else [])]]
+    frame = cuts.pd.DataFrame(rows, columns=["tbl", "band", "a", "b", "text_id", "asks", "text"])
+    got = [tuple(r) for f in cuts._early_in_cells(iter([frame[:3], frame[3:]])) for r in f.itertuples(index=False)]
+    assert got == [("e", 2)] and asked == [other, full]
+
+
+@pytest.mark.parametrize("text", ["", "It's a_b 12.", "Це — слово, пpaвда", "ｗｉｔｈ ﬁnds, días!", "Ünï_ço\u0301de — ½ ß ẞ 漢", "naïve “quoted” text a\u00a0b"])
+def test_letters_of_a_text(text):
+    assert cuts.letters(text) == "".join(c for c in cuts.consistent(text).casefold() if c.isalnum())
+
+
 def test_kinds_of_answers(spark):
     src, tgt = "The old bus driver of Kepo waits at teh window", "The old bus driver of Kepo waits at the window"
     fine = "The edit changes “teh” to “the”, which removes a plain spelling slip. Final label: TP"
