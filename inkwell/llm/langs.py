@@ -57,7 +57,6 @@ _MARKS = "“”„«»‚‘’—–…№€£§ºª½¼¾"
 _CODE = {chr(i): i for i in range(32, 127)} | {c: 0x80 + i for i, c in enumerate(_CYRILLIC)} | {c: 0xB0 + i for i, c in enumerate(_MARKS)} | {chr(i): i for i in range(0xDF, 0x100)}
 _OTHER = 0xDE
 _PLAIN = str.maketrans({c: chr(b) for c, b in _CODE.items()})
-_NONE = np.zeros((1, len(LANGS)), np.float32)
 _CLAUSE = re.compile(r"[^.!?…:;,“”«»„—–()\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -93,7 +92,7 @@ class Tagger:
         block of READ x (WINDOW + 2 CONTEXT) positions at most, whatever the texts' length.
         """
         coded = [to_bytes(t) for t in texts]
-        out = [np.zeros((len(c), len(LANGS)), np.float32) for c in coded]
+        out = [np.zeros((len(LANGS), len(c)), np.float32).T for c in coded]
         windows = [(i, a, max(0, a - CONTEXT), min(len(c), a + WINDOW + CONTEXT)) for i, c in enumerate(coded) for a in range(0, len(c), WINDOW)]
         windows.sort(key=lambda w: w[3] - w[2])
         for at in range(0, len(windows), READ):
@@ -101,33 +100,36 @@ class Tagger:
             x = np.zeros((part[-1][3] - part[-1][2], len(part)), np.uint8)
             for j, (i, _, lo, hi) in enumerate(part):
                 x[: hi - lo, j] = coded[i][lo:hi]
-            p = self.model.predict(x)
+            p = self.model.predict(x).transpose(1, 2, 0).copy()
             for j, (i, a, lo, hi) in enumerate(part):
                 n = min(len(coded[i]), a + WINDOW) - a
-                out[i][a : a + n] = p[a - lo : a - lo + n, j]
+                out[i].T[:, a : a + n] = p[j, :, a - lo : a - lo + n]
         return out
 
     @staticmethod
-    def document(p: np.ndarray) -> tuple[int, float]:
-        mean = p.sum(axis=0) / np.float32(len(p))
-        best = int(mean.argmax())
-        return best, float(mean[best])
+    def pooled(probs: list[np.ndarray]) -> np.ndarray:
+        """Mean probabilities of each text; zeros for an empty one."""
+        sums = np.array([p.sum(axis=0) for p in probs], np.float32).reshape(-1, len(LANGS))
+        return sums / np.maximum(np.fromiter(map(len, probs), np.float32, len(probs)), 1)[:, None]
 
     @staticmethod
     def clauses(text: str, p: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
         """(start, end, mean probabilities) of each clause long enough to tell."""
         out = []
-        sums = np.concatenate((_NONE, p)).cumsum(axis=0, dtype=np.float64)
         for m in _CLAUSE.finditer(text):
             words = _WORD.findall(m.group())
             if len(words) >= WORDS and sum(map(len, words)) >= LETTERS:
-                out.append((m.start(), m.end(), ((sums[m.end()] - sums[m.start()]) / (m.end() - m.start())).astype(np.float32)))
+                a, b = m.span()
+                out.append((a, b, p[a:b].sum(axis=0) / np.float32(b - a)))
         return out
 
-    def segments(self, texts: list[str], probs: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
+    def segments(self, texts: list[str], probs: list[np.ndarray], pooled: np.ndarray) -> list[list[tuple[int, int, int, float]]]:
         """(start, end, language, confidence) of the clauses of each mixed text, like neighbours as one; else []."""
-        found = [self.clauses(t, p) if len(p) else [] for t, p in zip(texts, probs, strict=True)]
-        mains = [self.document(p)[0] if len(p) else -1 for p in probs]
+        mains = pooled.argmax(axis=1).tolist()
+        # a text whose other languages have less in all than one doubtful clause needs has no such clause
+        little = DOUBT * (LETTERS + WORDS - 1) - 0.01
+        others = (1 - pooled.max(axis=1, initial=0)) * np.fromiter(map(len, probs), np.float64, len(probs))
+        found = [self.clauses(t, p) if other > little else [] for t, p, other in zip(texts, probs, others.tolist(), strict=True)]
         doubtful = [(i, j) for i, cs in enumerate(found) for j, (_, _, mean) in enumerate(cs) if mean[mains[i]] < 1 - DOUBT]
         alone = self.read([texts[i][found[i][j][0] : found[i][j][1]].strip() for i, j in doubtful])
         for (i, j), p in zip(doubtful, alone, strict=True):
@@ -197,32 +199,34 @@ def train_tagger(labelled: DataFrame, text: str, label: str, size: int = SAMPLE,
 
 def strung(texts: Iterable[tuple[str, str]], rnd: random.Random) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of (bytes, language) that hold every byte of (language, text) once: pieces of the texts, mixed and strung together."""
-    pieces: list[tuple[int, np.ndarray]] = []
+    pieces: list[tuple[int, bytes]] = []
 
     def batches() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rnd.shuffle(pieces)
-        x, y, at = [], [], 0
+        x, of, sizes, at = [], [], [], 0
         for k, piece in pieces:
             # some rows end early: the rest is padding, as behind short texts
             gap = 1 if rnd.random() > 0.06 else -(at + len(piece)) % LENGTH
-            x += [piece, np.full(gap, 32 if gap == 1 else 0, np.uint8)]
-            y += [np.full(len(piece), k), np.full(gap, -1)]
+            x += piece, b" " if gap == 1 else bytes(gap)
+            of += k, -1
+            sizes += len(piece), gap
             at += len(piece) + gap
-        x, y = np.concatenate([*x, np.zeros(-at % LENGTH, np.uint8)]).reshape(-1, LENGTH), np.concatenate([*y, np.full(-at % LENGTH, -1)]).reshape(-1, LENGTH)
+        x.append(bytes(-at % LENGTH))
+        x, y = np.frombuffer(b"".join(x), np.uint8).reshape(-1, LENGTH), np.repeat([*of, -1], [*sizes, -at % LENGTH]).reshape(-1, LENGTH)
         n = max(1, round(len(x) / ROWS))
         yield from zip((a.T.copy() for a in np.array_split(x, n)), (a.T.copy() for a in np.array_split(y, n)), strict=True)
         pieces.clear()
 
     held = 0
     for l, text in texts:
-        t = to_bytes(text)
-        at, raw = 0, t.tobytes()
-        while at < len(t):
+        k, raw, at = LANGS.index(l), to_bytes(text).tobytes(), 0
+        while at < len(raw):
             end = at + rnd.choice(PIECES)
             if rnd.random() < 0.5:  # the next piece begins with a word
-                end = raw.find(b" ", end) + 1 or len(t)
-            pieces.append((LANGS.index(l), t[at:end]))
-            held += min(end, len(t)) - at
+                end = raw.find(b" ", end) + 1 or len(raw)
+            piece = raw[at:end]
+            pieces.append((k, piece))
+            held += len(piece)
             at = end
             if held >= LENGTH * ROWS * MIXED:
                 yield from batches()
@@ -299,18 +303,20 @@ def label_texts(df: DataFrame, id_col: str, text: str, tagger: Tagger, decoder:
         for frame in frames:
             texts = [t if isinstance(t, str) else "" for t in frame["text"]]
             probs = tag.read(texts)
-            seg = tag.segments(texts, probs)
+            pooled = tag.pooled(probs)
+            seg = tag.segments(texts, probs, pooled)
             if dec is not None:
                 again = {i: better for i, s in enumerate(seg) if s and not texts[i].isascii() and (better := consistent(dec.restore(texts[i])[0])) != texts[i]}
-                reread = tag.read(list(again.values()))
-                for i, p, s in zip(again, reread, tag.segments(list(again.values()), reread), strict=True):
-                    texts[i], probs[i], seg[i] = again[i], p, s
+                better = list(again.values())
+                reread = tag.read(better)
+                means = tag.pooled(reread)
+                for i, t, mean, s in zip(again, better, means, tag.segments(better, reread, means), strict=True):
+                    texts[i], pooled[i], seg[i] = t, mean, s
             out = []
-            for row_id, t, p, s in zip(frame["row_id"], texts, probs, seg, strict=True):
-                k, c = tag.document(p) if t.strip() else (-1, 0.0)
+            for row_id, t, k, mean, rounded, s in zip(frame["row_id"], texts, pooled.argmax(axis=1).tolist(), pooled.tolist(), pooled.round(4).tolist(), seg, strict=True):
                 kept = [(a, b, LANGS[x], round(q, 4)) for a, b, x, q in s]
-                pooled = p.mean(axis=0).round(4).tolist() if k >= 0 else None
-                out.append((row_id, LANGS[k] if k >= 0 else None, round(c, 4), [dict(zip(("start", "end", "lang", "confidence"), x, strict=True)) for x in kept], pooled))
+                told = bool(t.strip())
+                out.append((row_id, LANGS[k] if told else None, round(mean[k], 4) if told else 0.0, [dict(zip(("start", "end", "lang", "confidence"), x, strict=True)) for x in kept], rounded if told else None))
             yield pd.DataFrame(out, columns=["row_id", "lang", "confidence", "segments", "pooled"])
 
     return rows.mapInPandas(read, f"row_id {id_type}, lang string, confidence double, segments array<struct<start:int,end:int,lang:string,confidence:double>>, pooled array<float>")

@@ -1,6 +1,7 @@
 """Leaks, subjects, cuts, answers, languages: brute force, held-out accuracy and odd tables."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -228,6 +229,37 @@ def test_long_texts_are_read_in_windows():
     assert np.allclose(p[0].sum(axis=1), 1, atol=1e-3)
 
 
+def test_a_batch_of_the_network_takes_no_fresh_memory_for_its_steps():
+    m, rng = bigru.BiGRU(6), np.random.default_rng(0)
+    x, y = rng.integers(32, 99, (96, 256)).astype(np.uint8), rng.integers(-1, 6, (96, 256))
+    first = m.loss_and_grads(x, y)
+    tracemalloc.start()
+    again = m.loss_and_grads(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000 and all((a == b).all() for a, b in zip(first[1], again[1], strict=True))
+
+
+def test_only_texts_with_some_doubt_are_read_by_clause(monkeypatch):
+    rng, asked, clauses = np.random.default_rng(2), [], langs.Tagger.clauses
+    tagger = langs.Tagger(bigru.BiGRU(len(LANGS), 4))
+    text = "the cat sat down, der Hund schlief dort ein. The cat sat up again!"
+    probs = []
+    for share in (0.001, 0.01, 0.03, 0.3):
+        for a, b in ((0, len(text)), (18, 43)):
+            other = np.zeros(len(text))
+            other[a:b] = share * rng.random(b - a) * 2
+            probs.append(np.stack([1 - other, other, *np.zeros((4, len(text)))], axis=1).astype(np.float32))
+    probs.append(np.eye(6, dtype=np.float32)[[0] * 18 + [1] * 14 + [0] * (len(text) - 32)])
+    monkeypatch.setattr(tagger, "read", lambda texts: [np.tile(np.eye(6, dtype=np.float32)[1], (len(t), 1)) for t in texts])
+    monkeypatch.setattr(langs.Tagger, "clauses", staticmethod(lambda t, p: asked.append(p) or clauses(t, p)))
+    got = tagger.segments([text] * len(probs), probs, tagger.pooled(probs))
+    assert 0 < len(asked) < len(probs)
+    doubted = [any(mean[0] < 1 - langs.DOUBT for _, _, mean in clauses(text, p)) for p in probs]
+    assert all(any(p is q for q in asked) for p, doubt in zip(probs, doubted, strict=True) if doubt) and sum(doubted) > 1
+    assert [s for s in got[:6] if s] == [] and [s[2] for s in got[-1]] == [0, 1, 0]
+
+
 def test_rules_of_a_long_sentence():
     words = [f"w{i}" for i in range(5000)]
     table = {(i,): (0.5, 0.5) for i in range(5000)} | {(i, i + 1, i + 2): (0.9, 0.1) for i in range(0, 4000, 3)}
