@@ -168,6 +168,11 @@ def _may_hold_case(text: str) -> bool:
     return "!" in sorts or len(sorts) > 1 + ("" in sorts)
 
 
+def stands_alone(text: str) -> bool:
+    """The one form of each word is the same whatever stands beside the text."""
+    return all(_sort_of(c) != "!" for c in set(text))
+
+
 def plain_characters(text: str) -> str:
     """Joint, visible, unstyled characters and plain spaces; letters stay in their scripts."""
     if text.isascii() or not any(_sort_of(c) == "!" for c in set(text)):

@@ -21,18 +21,21 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 from itertools import accumulate, chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.confusables import consistent
+from inkwell.llm.confusables import consistent, stands_alone
 from inkwell.llm.shingles import SHINGLE, SIMILARITY, bands, hashes, shingle_hashes, word_hashes
 from inkwell.operators.lineage import cut as stored
 
 #: Texts of a cell, and of those that ask in it; larger buckets have several cells.
 CELL = 2048
+#: Parts of texts that one Python worker remembers; emptied when full.
+REMEMBERED = 100_000
 #: Share of going on from which an ending counts as cut, and the share taken before anything is counted.
 GOES_ON, PRIOR = 0.6, 0.1
 #: What goes before any count weighs in observations: before the word's, the context's, the word's in its context.
@@ -42,7 +45,6 @@ _DOTS = re.compile(r"(?:\s*(?:\.\.+|…+))+\s*$")
 _CLOSERS = "\"'”’»“)]}*_ \n\t\r"
 _OPEN_CLOSE = {"“": "”", "«": "»", "„": "“", "(": ")", "[": "]", "{": "}", "‚": "‘"}
 _WORD = re.compile(r"\w+")
-_SIGNS = re.compile(r"[\W_]+")
 _ASCII_SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
 _SENTENCE_END = re.compile(r"[\"'”’»“)\]}*_]*(?:[.!?](?!\w)|[ \t]*[\r\n])|\"\s*[,}\]]")
 _EDGE = "\"'“”„«»‚‘’.,;!?…()[]{}<>*|"
@@ -63,11 +65,48 @@ def project(aligned: str, side: int) -> str:
     return text
 
 
+class _Parts(dict):
+    """What is made of each part of a text between spaces; of short parts it is remembered."""
+
+    def __init__(self, make: Callable[[str], object]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, part: str) -> object:
+        got = self.make(part)
+        if len(part) <= 40:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[part] = got
+        return got
+
+
+def _letters(text: str) -> str:
+    return "".join(filter(str.isalnum, consistent(text).casefold()))
+
+
+# a part whose characters may change with what is beside them has no letters of its own
+_letters_of = _Parts(lambda part: _letters(part) if stands_alone(part) else None)
+_words_of = _Parts(lambda part: tuple(_WORD.findall(part.lower())))
+
+
 def letters(text: str) -> str:
     """What alignment compares: letters and digits in one form and case."""
     if text.isascii():
         return text.lower().encode().translate(None, _ASCII_SIGNS).decode()
-    return _SIGNS.sub("", consistent(text).casefold())
+    try:
+        return "".join(map(_letters_of.__getitem__, text.split(" ")))
+    except TypeError:
+        return _letters(text)
+
+
+def _words(text: str) -> list[str]:
+    return list(chain.from_iterable(map(_words_of.__getitem__, text.split(" "))))
+
+
+def _undotted(text: str) -> str:
+    """The text without dots that stand for more; most texts end otherwise and are not searched."""
+    return _DOTS.sub("", text) if text.rstrip().endswith(("..", "…")) else text
 
 
 def _core(token: str) -> str:
@@ -77,7 +116,7 @@ def _core(token: str) -> str:
 def ending(text: str) -> tuple[tuple[str, str], str, str] | None:
     """(two words before, last word, how it ends): 'cut' for sure, 'open' without a mark; None when finished."""
     t = text.strip()
-    bare = _DOTS.sub("", t)
+    bare = _undotted(t)
     dotted = bare != t
     if not bare:
         return None
@@ -125,7 +164,7 @@ class Copy:
 
     @cached_property
     def words(self) -> list[str]:
-        return _WORD.findall(self.text.lower())
+        return _words(self.text)
 
     @cached_property
     def shingles(self) -> set[int]:
@@ -144,7 +183,7 @@ class Asking(Copy):
     """An open-ended text; its last word may be cut."""
 
     def __init__(self, text: str) -> None:
-        super().__init__(_DOTS.sub("", project(text, 2)))
+        super().__init__(_undotted(project(text, 2)))
         #: Texts that it was compared with; buckets of one task share many.
         self.tried: set[int] = set()
 
@@ -185,7 +224,7 @@ _copy, _asking = lru_cache(20_000)(Copy), lru_cache(5_000)(Asking)
 def _early_in_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts of sorted ``tbl, band, a, b, text_id, asks, text`` rows that another text of their cell goes on from."""
     found: set[tuple[str, int]] = set()
-    for (tbl, *_), cell in groupby((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r[:4]):
+    for (tbl, *_), cell in groupby((r for f in frames for r in zip(*(f[c].tolist() for c in f), strict=True)), key=itemgetter(0, 1, 2, 3)):
         members = list(cell)
         full = [(r[4], _copy(r[6])) for r in members if not r[5]]
         # the letters of all texts of the cell in one string, so that an ending is looked for in all at once
@@ -268,7 +307,7 @@ def _own_form(text: str, own: list[str | None]) -> tuple[bool, bool]:
     early = whole = False
     for side, full in zip((1, 2), own, strict=False):
         if full:
-            mine = _DOTS.sub("", project(text, side))
+            mine = _undotted(project(text, side))
             if ends_early(mine, full):
                 early = True
             elif letters(mine) == letters(full):
@@ -286,7 +325,7 @@ def text_states(records: DataFrame, judge: Callable[..., str | None] | None = No
     def state(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [t if isinstance(t, str) and t.strip() else "" for t in frame["text"]]
-            found = bands([_WORD.findall(project(t, 2).lower()) for t in texts])
+            found = bands([_words(project(t, 2)) for t in texts])
             ends = [ending(t) if t else None for t in texts]
             sure, open_ = [], []
             for t, end, own in zip(texts, ends, frame["own"], strict=True):

@@ -11,6 +11,8 @@ import xxhash
 SHINGLE, SIMILARITY = 5, 0.8
 #: 12 bands of 4 rows: a pair at 0.8 is missed with probability 0.002.
 BANDS, ROWS = 12, 4
+#: Shingles whose hashes are made at once, so that they stay in the core's cache.
+AT_ONCE = 32_768
 #: Word hashes that one Python worker remembers; emptied when full.
 REMEMBERED = 500_000
 _rng = np.random.default_rng(11)
@@ -43,12 +45,8 @@ def shingle_hashes(words: Sequence[str]) -> np.ndarray:
 
 
 def _roll(h: np.ndarray) -> np.ndarray:
-    n = len(h) - SHINGLE + 1
-    with np.errstate(over="ignore"):
-        s = h[:n] * _PLACE[0]
-        for j in range(1, SHINGLE):
-            s = s + h[j : j + n] * _PLACE[j]
-        return s ^ (s >> np.uint64(29))
+    s = np.correlate(h, _PLACE, "valid")
+    return s ^ (s >> np.uint64(29))
 
 
 def bands(texts: Sequence[Sequence[str]]) -> list[list[int]]:
@@ -64,11 +62,26 @@ def bands(texts: Sequence[Sequence[str]]) -> list[list[int]]:
     for j in range(1, SHINGLE):
         inside[start + n - j] = False
     s = s[np.flatnonzero(inside)]
-    first = np.concatenate(([0], np.cumsum(n - SHINGLE + 1)[:-1]))
+    sig = _least(s, np.concatenate(([0], np.cumsum(n - SHINGLE + 1)))).T
     with np.errstate(over="ignore"):
-        sig = np.stack([np.minimum.reduceat(s * a + b, first) for a, b in zip(_A, _B, strict=True)], axis=1)
         mixed = (sig.reshape(len(long), BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64) ^ _SALT
         mixed = (mixed ^ (mixed >> np.uint64(31))) * _A[0]
     for i, row in zip(long, mixed.view(np.int64).tolist(), strict=True):
         out[i] = row
     return out
+
+
+def _least(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(function, text): the least value of each hash function over the shingles between a text's bounds."""
+    out = np.empty((BANDS * ROWS, len(bounds) - 1), np.uint64)
+    lo = 0
+    while lo < len(bounds) - 1:
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + AT_ONCE, "right")) - 1)
+        some, first = s[bounds[lo] : bounds[hi]], bounds[lo:hi] - bounds[lo]
+        hashed = np.empty_like(some)
+        for k in range(BANDS * ROWS):
+            np.multiply(some, _A[k], out=hashed)
+            hashed += _B[k]
+            out[k, lo:hi] = np.minimum.reduceat(hashed, first)
+        lo = hi
+    return out

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkwell.llm import answers, bigru, cuts, langs, leaks, subjects
+from inkwell.llm import answers, bigru, cuts, langs, leaks, shingles, subjects
 from inkwell.llm.samples import LANGS
 
 SF = "/root/testdata/sf0.01"
@@ -135,6 +135,32 @@ def test_letters_of_a_text(text):
     assert cuts.letters(text) == "".join(c for c in cuts.consistent(text).casefold() if c.isalnum())
 
 
+def test_what_is_made_of_a_part_of_a_text_is_remembered(monkeypatch):
+    asked = []
+    monkeypatch.setattr(cuts, "consistent", lambda t, one_form=cuts.consistent: asked.append(t) or one_form(t))
+    first, again = "Це “слoво” erwähnt días", "días erwähnt “слoво”"
+    assert cuts.letters(first) == "цесловоerwähntdías"
+    del asked[:]
+    assert cuts.letters(again) == "díaserwähntслово" and not asked
+    for odd in ("cafe \u0301x", "ﬁn Ⅳ x", "a\u200b b é", "x" * 50 + "é й"):  # what stands beside it counts, or it is long
+        assert cuts.letters(odd) == "".join(c for c in cuts.consistent(odd).casefold() if c.isalnum())
+    assert cuts._words("ΟΔΟΣ a_b  c’d\tΣ. é") == ["οδος", "a_b", "c", "d", "σ", "é"]
+
+
+@pytest.mark.parametrize("text", ["", "a.", "a..", "a. .", "a ... \n", "a…", "a .. …\t", "..", "a… b.", "…\u200b"])
+def test_dots_that_stand_for_more(text):
+    assert cuts._undotted(text) == cuts._DOTS.sub("", text)
+
+
+def test_bands_do_not_depend_on_the_block(monkeypatch):
+    rnd = random.Random(3)
+    texts = [[f"w{rnd.randrange(50)}" for _ in range(n)] for n in (0, 4, 5, 6, 90, 5, 30, 7, 200)]
+    want = shingles.bands(texts)
+    monkeypatch.setattr(shingles, "AT_ONCE", 20)
+    assert shingles.bands(texts) == want == [shingles.bands([t])[0] for t in texts]
+    assert [len(b) for b in want[:3]] == [0, 0, shingles.BANDS]
+
+
 def test_kinds_of_answers(spark):
     src, tgt = "The old bus driver of Kepo waits at teh window", "The old bus driver of Kepo waits at the window"
     fine = "The edit changes “teh” to “the”, which removes a plain spelling slip. Final label: TP"
